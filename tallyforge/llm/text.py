@@ -60,13 +60,19 @@ _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
 
 
+def _geometric(ratio: int, n: int) -> np.ndarray:
+    out = np.full(n, ratio, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, kept per worker for the longest run so far."""
     global _powers, _inverse
     if len(_powers) < n:
-        size = max(n, 1 << 16)
+        size = max(n + n // 4, 1 << 16)
         with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate(([1], np.full(size - 1, P64, dtype=np.uint64))).astype(np.uint64), dtype=np.uint64)
-            _inverse = np.cumprod(np.concatenate(([1], np.full(size - 1, P64_INV, dtype=np.uint64))).astype(np.uint64), dtype=np.uint64)
+            _powers, _inverse = _geometric(P64, size), _geometric(P64_INV, size)
     return _powers[:n], _inverse[:n]
 
 
