@@ -24,20 +24,21 @@ from tallyforge.llm.quality import plain
 #: Shorter lines are left alone: one word of three is no slip of the pen.
 MIN_WORDS = 5
 KEY = "decimal(38,0)"
+HALVES = ("h1", "h2", "h3", "h4")
 
 
 def spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.translate(x, " ", ""))
 
 
-def half_keys(x: Column, n: Column) -> Column:
+def half_keys(x: Column, n: Column) -> dict[str, Column]:
     """Hashes of the first and last halves that a line of n words can share with a near line.
 
     Lengths floor(n/2) and floor((n-1)/2) from the left, n minus these from the right: a pair of n and n or n + 1 words
     has the left length floor(n/2) and the right length ceil(n/2) in common.
     """
     a, b = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.array_distinct(F.array(_left(x, a), _left(x, b), _right(x, n - a), _right(x, n - 1 - b)))
+    return {"h1": _left(x, a), "h2": _left(x, b), "h3": _right(x, n - a), "h4": _right(x, n - b)}
 
 
 def _left(x: Column, k: Column) -> Column:
@@ -92,9 +93,9 @@ def _near(a: Column, b: Column) -> Column:
 
 def text_lines(docs: DataFrame) -> DataFrame:
     """Lines of MIN_WORDS words or more: ``doc_id, line_no`` (from 0), the normalised line ``x``, its hash and words."""
-    normal = F.transform(F.split(plain(F.lower("text"), "\n"), "\n"), lambda x: F.trim(x))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(normal).alias("line_no", "raw"))
-    rows = rows.withColumn("x", F.when(F.contains("raw", F.lit("  ")), F.regexp_replace("raw", " +", " ")).otherwise(F.col("raw")))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(plain(F.lower("text"), "\n"), "\n")).alias("line_no", "raw"))
+    rows = rows.select("doc_id", "line_no", F.trim("raw").alias("raw"))
+    rows = rows.select("doc_id", "line_no", F.when(F.contains("raw", F.lit("  ")), F.regexp_replace("raw", " +", " ")).otherwise(F.col("raw")).alias("x"))
     rows = rows.select("doc_id", "line_no", "x", F.xxhash64("x").alias("line"), (spaces(F.col("x")) + 1).alias("n"))
     return rows.where(F.col("n") >= MIN_WORDS)
 
@@ -107,9 +108,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     lines = text_lines(docs)
     at = order_of(F.col("doc_id"), F.col("line_no")).alias("at")
-    firsts = lines.select("line", at, half_keys(F.col("x"), F.col("n")).alias("halves")).groupBy("line").agg(F.min("at").alias("at"), F.first("halves").alias("halves"))
-    firsts = cut(firsts)
-    halves = firsts.select("line", F.explode("halves").alias("half"))
+    # one narrow table of all lines: hashes, no text
+    every = cut(lines.select("doc_id", "line_no", "line", *(k.alias(name) for name, k in half_keys(F.col("x"), F.col("n")).items())))
+    firsts = cut(every.groupBy("line").agg(F.min(at).alias("at"), *(F.min(h).alias(h) for h in HALVES)))
+    halves = firsts.select("line", F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
     shared = halves.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high")
     paired = halves.withColumn("_key", shifted("half")).join(shared.select(shifted("half").alias("_key")), "_key", "left_semi")
     paired = paired.select("line").distinct().hint("shuffle_hash")
@@ -134,8 +136,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     checked = matches.join(texts.select("line", "x"), "line").join(earlier, "other").where(near(F.col("x"), F.col("y")))
     gone = checked.select("line").distinct()
     marks = firsts.select("line", F.col("at").alias("first")).join(gone.withColumn("gone", F.lit(True)), "line", "left").withColumn("_key", shifted("line"))
-    every = lines.select("doc_id", "line_no", shifted("line").alias("_key"), at)
-    found = every.join(marks.select("_key", "first", "gone"), "_key").where((F.col("at") > F.col("first")) | F.col("gone"))
+    found = every.select("doc_id", "line_no", shifted("line").alias("_key"), at).join(marks.select("_key", "first", "gone"), "_key").where((F.col("at") > F.col("first")) | F.col("gone"))
     return found.select("doc_id", "line_no").distinct()
 
 
