@@ -147,7 +147,7 @@ def similar_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
         links = np.zeros(len(node), dtype=np.int64)
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
-        root = node[roots(len(node), i, j)]
+        root = roots(node, i, j)
         used = links > 0
         return pa.RecordBatch.from_arrays([pa.array(node[used]), pa.array(links[used]), pa.array(root[used])], names=["node", "links", "root"])
 

@@ -82,9 +82,16 @@ def by_block(blocks: DataFrame, key: str, task: Callable[[pa.Table], pa.RecordBa
     return blocks.repartition(key, "a", "b").sortWithinPartitions(key, "a", "b").mapInArrow(stream, schema)
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n positions the smallest position it is connected with through pairs (i, j)."""
-    label = np.arange(n)
+def roots(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each node of a block the smallest node that pairs (i, j) of positions connect it with.
+
+    Smallest numbers, not first positions: blocks that share chunks then name the same roots, and edges stay few.
+    """
+    order = np.argsort(node, kind="stable")
+    rank = np.empty(len(node), dtype=np.int64)
+    rank[order] = np.arange(len(node))
+    i, j = rank[i], rank[j]
+    label = np.arange(len(node))
     while len(i):
         low = np.minimum(label[i], label[j])
         new = label.copy()
@@ -96,7 +103,7 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         if np.array_equal(new, label):
             break
         label = new
-    return label
+    return node[order][label[rank]]
 
 
 def components(edges: DataFrame) -> DataFrame:

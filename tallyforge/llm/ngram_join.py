@@ -160,7 +160,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     def proposed(block: pa.Table) -> pa.RecordBatch | None:
         node = block.column("node").to_numpy()
         i, j = pruned_pairs(sketches(block), *block_pairs(block), similarity, tolerance)
-        root = node[roots(len(node), i, j)]
+        root = roots(node, i, j)
         used = root != node
         return pa.RecordBatch.from_arrays([pa.array(node[used]), pa.array(root[used])], names=["u", "v"]) if used.any() else None
 
@@ -190,7 +190,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
         links = np.zeros(len(node), dtype=np.int64)
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
-        root = node[roots(len(node), i, j)]
+        root = roots(node, i, j)
         used = links > 0
         return pa.RecordBatch.from_arrays([pa.array(node[used]), pa.array(links[used]), pa.array(root[used])], names=["node", "links", "root"])
 
