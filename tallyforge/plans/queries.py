@@ -157,7 +157,8 @@ SELECT t, 'amount' AS field, 'error' AS severity, 'Amount missing' AS message FR
 UNION ALL SELECT t, 'amount', 'error', 'Cannot parse amount: ''' || amount || '''' FROM p WHERE TRY_CAST(replace(amount, ',', '') AS DOUBLE) IS NULL AND amount IS NOT NULL
 UNION ALL SELECT t, 'amount', 'warning', 'Low confidence' FROM p WHERE amount IS NOT NULL AND amount_confidence < 0.90
 UNION ALL SELECT t, 'to_account', 'error', 'To account missing' FROM p WHERE to_account IS NULL
-UNION ALL SELECT t, 'accounts', 'warning', 'From and To accounts are identical' FROM p WHERE from_account = to_account)
+UNION ALL SELECT t, 'accounts', 'warning', 'From and To accounts are identical' FROM p WHERE from_account = to_account
+UNION ALL SELECT id, 'datetime', 'warning', 'Date is in the future' FROM tx WHERE date_trunc('day', created_at) > TIMESTAMP '{AS_OF}')
 SELECT t AS txn_pk, field, severity, message FROM i""")
 def validation_issues(spark, sf_dir):
     rows = validate.validate(wide_rows(spark, sf_dir), now()).select("txn_pk", F.explode("issues").alias("i")).select("txn_pk", "i.*")
