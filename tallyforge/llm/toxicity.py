@@ -24,10 +24,10 @@ from tallyforge.llm.text import P64, joined, mix, runs, slice_hashes, word_slice
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 18
 WIDTH = 2
-SAMPLE, SAMPLE_CHARS = 1500, 4_000
-ROUNDS, RATE, DECAY, SCALE = 60, 1.0, 1e-4, 16.0
-#: N-grams of fewer texts than this share of the sample, or than five, are left out.
-LEAST_SHARE = 0.01
+SAMPLE, SAMPLE_CHARS = 1200, 4_000
+ROUNDS, RATE, DECAY, SCALE = 200, 1.0, 1e-4, 1.5
+#: N-grams of fewer texts than the least share of the sample, or than five, are left out; so are those of more than the most.
+LEAST_SHARE, MOST_SHARE = 0.02, 0.25
 THRESHOLD = 0.3
 
 
@@ -103,7 +103,7 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
         return Model(np.zeros(BUCKETS, dtype=np.float32), prior)
     text, gram, value = text_rows(texts)
     many = np.bincount(gram, minlength=BUCKETS)
-    fine = many[gram] >= max(5, LEAST_SHARE * len(texts))
+    fine = (many[gram] >= max(5, LEAST_SHARE * len(texts))) & (many[gram] <= MOST_SHARE * len(texts))
     text, gram, value = text[fine], gram[fine], value[fine]
     used, gram = np.unique(gram, return_inverse=True)
     # common n-grams would drown the others in a mean: each is scaled to the same mean square, a constant of the n-gram
