@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.graph import shifted
 
-BLANK_CHARS = "\t\n\x0b\x0c\r "
-SYMBOLS = "#*$%&|<>"
+#: Fixed values of the rules: blanks besides the space, and symbols, as character classes.
+BLANKS, SYMBOLS = r"\t\n\x0B\x0C\r", r"[#*$%&|<>]+"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A line is boilerplate in more distinct texts of its host than this, and than this share of them.
 LINE_TEXTS, LINE_SHARE = 20, 0.01
@@ -22,26 +22,31 @@ LINE_TEXTS, LINE_SHARE = 20, 0.01
 LEAST_LEFT = 0.3
 
 
-def plain(text: Column, but: str = "") -> Column:
-    """The text with every blank as a space (``but`` stays), without a regex."""
-    some = [c for c in BLANK_CHARS if c != but]
-    return F.translate(text, "".join(some), " " * len(some))
+def plain(text: Column, lines: bool = False) -> Column:
+    """The text with every blank as a space; with ``lines``, line feeds stay.  One pass that seldom replaces anything."""
+    return F.regexp_replace(text, f"[{BLANKS.replace(r'\n', '') if lines else BLANKS}]", " ")
+
+
+def spaces(x: Column) -> Column:
+    return F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(plain(text), " "), "")
 
 
+def single_spaced(text: Column) -> Column:
+    """In lower case, runs of blanks as one space, line feeds kept (a space may stay beside them)."""
+    return F.regexp_replace(plain(F.lower(text), lines=True), " {2,}", " ")
+
+
 def normal_lines(text: Column) -> Column:
     """The lines in lower case with single spaces, trimmed; without those that hold no word."""
-    lines = F.transform(F.split(plain(F.lower(text), "\n"), "\n"), F.trim)
-    lines = F.transform(lines, lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x))
-    return F.array_remove(lines, "")
+    return F.array_remove(F.transform(F.split(single_spaced(text), "\n"), F.trim), "")
 
 
 def line_words(lines: Column) -> Column:
     """Distinct lines as (hash, number of words)."""
-    spaces = lambda x: F.length(x) - F.length(F.translate(x, " ", ""))
     return F.array_distinct(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (spaces(x) + 1).alias("words"))))
 
 
@@ -92,19 +97,18 @@ def within_text(docs: DataFrame) -> DataFrame:
     Each step is a projection of its own, so that nothing is computed twice.
     """
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(plain(x)) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(f"[^ {BLANKS}]")))
     steps = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.coalesce("source", F.lit("")), F.xxhash64("text")).alias("_text"),
         words_of(text).alias("words"),
-        F.length(F.translate(text, BLANK_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.octet_length(text) - F.octet_length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         normal_lines(text).alias("normal"),
     )
     n, words = F.size("words"), F.col("words")
     steps = steps.select(
-        "doc_id", "_text", "word_chars", "n_symbols", n.cast("long").alias("n_words"),
+        "doc_id", "_text", F.length(F.array_join(words, "")).cast("long").alias("word_chars"), "n_symbols", n.cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(line_words(F.col("normal")), F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("line_words"),
         F.when(n > 3, F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))).alias("windows"),
