@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.graph import cut, shifted
-from tallyforge.llm.quality import plain
+from tallyforge.llm.quality import plain, single_spaced, spaces
 
 #: Shorter lines are left alone: one word of three is no slip of the pen.
 MIN_WORDS = 5
@@ -27,10 +27,6 @@ KEY = "decimal(38,0)"
 HALVES = ("h1", "h2", "h3", "h4")
 
 
-def spaces(x: Column) -> Column:
-    return F.length(x) - F.length(F.translate(x, " ", ""))
-
-
 def half_keys(x: Column, n: Column) -> dict[str, Column]:
     """Hashes of the first and last halves that a line of n words can share with a near line.
 
@@ -93,11 +89,11 @@ def _near(a: Column, b: Column) -> Column:
 
 def text_lines(docs: DataFrame) -> DataFrame:
     """Lines of MIN_WORDS words or more: ``doc_id, line_no`` (from 0), the normalised line ``x``, its hash and words."""
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(plain(F.lower("text"), "\n"), "\n")).alias("line_no", "raw"))
-    rows = rows.select("doc_id", "line_no", F.trim("raw").alias("raw"))
-    rows = rows.select("doc_id", "line_no", F.when(F.contains("raw", F.lit("  ")), F.regexp_replace("raw", " +", " ")).otherwise(F.col("raw")).alias("x"))
-    rows = rows.select("doc_id", "line_no", "x", F.xxhash64("x").alias("line"), (spaces(F.col("x")) + 1).alias("n"))
-    return rows.where(F.col("n") >= MIN_WORDS)
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(single_spaced(F.col("text")), "\n")).alias("line_no", "raw"))
+    rows = rows.select("doc_id", "line_no", F.trim("raw").alias("x"))
+    # the filter stops at the last space it needs; counting the words is left to the lines that stay
+    rows = rows.where(F.octet_length(F.call_function("substring_index", "x", F.lit(" "), F.lit(MIN_WORDS - 1))) < F.octet_length("x"))
+    return rows.select("doc_id", "line_no", "x", F.xxhash64("x").alias("line"), (spaces(F.col("x")) + 1).alias("n"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
