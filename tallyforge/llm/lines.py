@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.graph import cut, shifted
 from tallyforge.llm.quality import plain, single_spaced, spaces
 
-#: Shorter lines are left alone: one word of three is no slip of the pen.
+#: Shorter lines are near to no other: one word of three is no slip of the pen.  Equal ones are repeats at any length
+#: from ``exact_words`` on.
 MIN_WORDS = 5
 KEY = "decimal(38,0)"
 HALVES = ("h1", "h2", "h3", "h4")
@@ -87,27 +88,30 @@ def _near(a: Column, b: Column) -> Column:
     )
 
 
-def text_lines(docs: DataFrame) -> DataFrame:
-    """Lines of MIN_WORDS words or more: ``doc_id, line_no`` (from 0), the normalised line ``x``, its hash and words."""
+def text_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """Lines of ``least`` words or more: ``doc_id, line_no`` (from 0), the normalised line ``x``, its hash and words."""
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(single_spaced(F.col("text")), "\n")).alias("line_no", "raw"))
     rows = rows.select("doc_id", "line_no", F.trim("raw").alias("x"))
     # the filter stops at the last space it needs; counting the words is left to the lines that stay
-    rows = rows.where(F.octet_length(F.call_function("substring_index", "x", F.lit(" "), F.lit(MIN_WORDS - 1))) < F.octet_length("x"))
+    rows = rows.where(F.octet_length(F.call_function("substring_index", "x", F.lit(" "), F.lit(least - 1))) < F.octet_length("x"))
     return rows.select("doc_id", "line_no", "x", F.xxhash64("x").alias("line"), (spaces(F.col("x")) + 1).alias("n"))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, exact_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, line_no)`` of every line with an equal or near line before it, once for each row that has it.
 
+    Lines of ``exact_words`` words or more are compared for equality (1: all that hold a word), those of MIN_WORDS or
+    more, which alone have half-line keys, for nearness too.
+
     Null texts have no lines.  Rows that share a doc_id count as one document: their lines are ordered by number, and
     a line equal to one at the same document and number is not a repeat of it.
     """
-    lines = text_lines(docs)
+    lines = text_lines(docs, exact_words)
     at = order_of(F.col("doc_id"), F.col("line_no")).alias("at")
     # one narrow table of all lines: hashes, no text
-    every = cut(lines.select("doc_id", "line_no", "line", *(k.alias(name) for name, k in half_keys(F.col("x"), F.col("n")).items())))
+    every = cut(lines.select("doc_id", "line_no", "line", *(F.when(F.col("n") >= MIN_WORDS, k).alias(name) for name, k in half_keys(F.col("x"), F.col("n")).items())))
     firsts = cut(every.groupBy("line").agg(F.min(at).alias("at"), *(F.min(h).alias(h) for h in HALVES)))
-    halves = firsts.select("line", F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
+    halves = firsts.where("h1 is not null").select("line", F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
     shared = halves.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high")
     paired = halves.withColumn("_key", shifted("half")).join(shared.select(shifted("half").alias("_key")), "_key", "left_semi")
     paired = paired.select("line").distinct().hint("shuffle_hash")
@@ -136,9 +140,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "line_no").distinct()
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, exact_words: int = MIN_WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines (by line feeds), n_removed and the removed line numbers, from 0 in order."""
-    removed = repeated_lines(docs).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")).agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
+    removed = repeated_lines(docs, exact_words).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")).agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_null", F.col("doc_id").isNull())
     out = rows.join(removed, ["_id", "_null"], "left")
@@ -153,12 +157,12 @@ def without_lines(text: Column, removed: Column) -> Column:
     return F.array_join(F.flatten(parts), "\n")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, exact_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; documents left without any word go if they lost a line.
 
     Columns stay as they are, ``n_chars`` follows the text where it is there.  Null texts stay null.
     """
-    removed = repeated_lines(docs).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")).agg(F.sort_array(F.collect_list("line_no")).alias("_removed"))
+    removed = repeated_lines(docs, exact_words).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")).agg(F.sort_array(F.collect_list("line_no")).alias("_removed"))
     id_ = F.col("doc_id").cast("long")
     rows = docs.withColumn("_id", F.coalesce(id_, F.lit(0))).withColumn("_null", id_.isNull()).join(removed, ["_id", "_null"], "left")
     rows = rows.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("_removed"))))

@@ -58,7 +58,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(table(spark, sf_dir, "documents"))
+    return lines.line_report(table(spark, sf_dir, "documents"), exact_words=1)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

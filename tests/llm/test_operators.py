@@ -138,6 +138,27 @@ def test_lines(spark, odd, docs):
     assert lines.line_report(odd.limit(0)).count() == 0
 
 
+def test_short_lines(spark, docs):
+    from tallyforge.llm import queries
+
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    seen, equal, wanted = [], set(), {}
+    for d, text in rows:
+        for k, line in enumerate(text.split("\n")):
+            w = re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ").split(" ")
+            if w != [""]:
+                if tuple(w) in equal or (len(w) >= 5 and any(near(w, s) for s in seen)):
+                    wanted.setdefault(d, []).append(k)
+                equal.add(tuple(w))
+                if len(w) >= 5:
+                    seen.append(w)
+    got = {r.doc_id: list(r.removed) for r in queries.op9_line_dedup(spark, DATA).collect()}
+    assert {d: x for d, x in got.items() if x} == wanted
+    few = spark.createDataFrame([(1, "Read more\n商品の説明を読む\none two three four"), (2, "read  MORE\n商品の説明を読む\none two three five\n\n \n"), (3, "Read more")], "doc_id long, text string")
+    assert {r.doc_id: (list(r.removed), r.n_lines) for r in lines.line_report(few, exact_words=1).collect()} == {1: ([], 3), 2: ([0, 1], 6), 3: ([0], 1)}
+    assert {r.doc_id: r.text for r in lines.dedup_lines(few, exact_words=1).collect()} == {1: few.first().text, 2: "one two three five\n\n \n"}
+
+
 def test_quality(spark, odd, docs):
     for frame in (docs, odd):
         texts = {(r.doc_id): r.text or "" for r in frame.collect()}
