@@ -1,9 +1,16 @@
 """Licence scan from built-in functions only: Dice coefficient over word bigrams against licence templates.
 
-Every line of a document, and the whole text where it has several, is normalised (lower case, only letters and digits)
-and compared with the templates whose number of bigrams can reach the threshold: 2 min(a, b) / (a + b) bounds the
+Every line of a document, the whole text where it has several, and every window of its words, across lines or within
+one, is normalised (lower case, only letters and digits) and compared with the templates whose number of bigrams can reach the threshold: 2 min(a, b) / (a + b) bounds the
 coefficient, so sizes outside [t / (2 - t), (2 - t) / t] of the template's are skipped without looking at bigrams.
 The templates are few and fixed and stand in the plan as literals; documents are mapped once, without a shuffle.
+
+A unit that reaches the threshold against a template holds at least the lower size bound of the template's distinct
+bigrams, and so does the text around it: texts that hold fewer of every template are done after one look.  In the others
+a best window begins and ends with a bigram of the template, so each such bigram is tried as the beginning and one pass
+to the right counts distinct bigrams (those whose last occurrence lies before the beginning) and keeps the best end.  Of
+windows that overlap the one with the highest coefficient stays.  It counts as a unit unless it lies within a line that
+matches by itself, or has the name that the whole text matches.
 """
 
 from __future__ import annotations
@@ -48,9 +55,18 @@ def bounds(size: int, dice: float) -> tuple[int, int]:
     return fits[0], fits[-1]
 
 
+def words_of(unit: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", " ")), " ")
+
+
+def pairs_of(words: Column) -> Column:
+    """The bigrams in order, repeated ones too."""
+    joined = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(words) > 1, joined).otherwise(F.array().cast("array<string>"))
+
+
 def bigrams(unit: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", " ")), " ")
-    return F.when(F.size(words) > 1, F.array_distinct(F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(pairs_of(words_of(unit)))
 
 
 def hits(unit_bigrams: Column, dice: float = DICE) -> Column:
@@ -72,14 +88,26 @@ def licences(docs: DataFrame, dice: float = DICE) -> DataFrame:
     repeated rows have equal results.
     """
     text = F.coalesce("text", F.lit(""))
-    lines = F.split(text, "\n")
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array(text))).otherwise(lines)
-    small = bounds(min(len(b) for _, b in template_bigrams()), dice)[0]
-    # a unit has at least as many words as bigrams and one; blanks and marks separate them
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(units, bigrams).alias("units"))
-    rows = rows.select("doc_id", F.filter("units", lambda u: F.size(u) >= small).alias("units"))
-    found = F.filter(F.transform("units", lambda u: hits(u, dice)), lambda h: h.isNotNull())
-    rows = rows.select("doc_id", found.alias("found"))
+    own = [b for _, b in template_bigrams()]
+    least = [bounds(len(b), dice)[0] for b in own]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), words_of(text).alias("words"))
+    rows = rows.select("doc_id", "text", F.array_intersect(pairs_of(F.col("words")), F.array(*map(F.lit, sorted({g for b in own for g in b})))).alias("seen"))
+    holds = [F.when(F.size(F.array_intersect("seen", F.array(*map(F.lit, b)))) >= low, F.lit(t)) for t, (b, low) in enumerate(zip(own, least, strict=True))]
+    likely = F.when(F.size("seen") >= min(least), F.array_compact(F.array(*holds))).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("doc_id", "text", likely.alias("likely"))
+    # everything further is null where no template can match
+    rows = rows.select("doc_id", "text", "likely", F.when(F.size("likely") > 0, F.split("text", "\n")).alias("lines"))
+    rows = rows.select(
+        "doc_id", "likely",
+        F.transform("lines", lambda x: hits(bigrams(x), dice)).alias("by_line"),
+        F.when(F.size("lines") > 1, hits(bigrams(F.col("text")), dice)).alias("whole"),
+        F.transform("lines", lambda x: F.array_remove(words_of(x), "")).alias("words"),
+    )
+    rows = windows(rows, dice)
+    spare = lambda x: F.coalesce(x["name"] == F.col("whole.name"), F.lit(False)) | ((x["first"] == x["last"]) & F.get("by_line", x["first"]).isNotNull())
+    between = F.transform(F.filter("windows", lambda x: ~spare(x)), lambda x: F.struct(x["dice"].alias("dice"), x["name"].alias("name")))
+    found = F.filter(F.concat("by_line", F.array("whole"), between), lambda h: h.isNotNull())
+    rows = rows.select("doc_id", F.coalesce(found, F.array().cast("array<struct<dice:double,name:string>>")).alias("found"))
     return rows.select(
         "doc_id",
         F.size("found").cast("long").alias("n_units"),
@@ -88,6 +116,53 @@ def licences(docs: DataFrame, dice: float = DICE) -> DataFrame:
     )
 
 
+def windows(rows: DataFrame, dice: float = DICE) -> DataFrame:
+    """``rows`` with ``windows``: dice, name, first and last line of the best windows, from ``words`` by line and ``likely``.
+
+    Columns that a lambda looks into are named twice in a projection, so that none is moved into the lambda.
+    """
+    rest = ["likely", *(c for c in rows.columns if c not in ("words", "likely"))]
+    at = F.flatten(F.transform("words", lambda x, k: F.array_repeat(k, F.size(x))))
+    rows = rows.select(*rest, F.flatten("words").alias("words"), at.alias("at"))
+    rows = rows.select(*rest, "at", F.when(F.size("words") > 1, pairs_of(F.col("words"))).alias("grams"))
+    rows = rows.select(*rest, "at", F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))).alias("dealt"))
+    before = lambda k: F.get("dealt", k - 1)
+    linked = F.transform("dealt", lambda x, k: F.struct(x["i"].alias("i"), F.when((k > 0) & (before(k)["g"] == x["g"]), before(k)["i"]).otherwise(F.lit(-1)).alias("prev"), x["g"].alias("g")))
+    rows = rows.select(*rest, "at", F.when(F.size("dealt") > 0, F.sort_array(linked)).alias("grams"))
+    marked = []
+    for t, (_, own) in enumerate(template_bigrams()):
+        marks = F.transform("grams", lambda x: F.struct(x["i"].alias("i"), x["prev"].alias("prev"), x["g"].isin(own).alias("hit")))  # noqa: B023
+        marked.append(F.when(F.array_contains("likely", t), marks).alias(f"m{t}"))
+    rows = rows.select(*rest, "at", *marked)
+    every = []
+    for t, (name, own) in enumerate(template_bigrams()):
+        best = F.transform(F.filter(f"m{t}", lambda x: x["hit"]), lambda s: _best_end(f"m{t}", s["i"], len(own), dice))  # noqa: B023
+        best = F.transform(F.filter(best, lambda b: b["end"] >= 0), lambda b: F.struct(b["dice"].alias("dice"), (b["end"] - b["begin"]).alias("size"), F.lit(name).alias("name"), (-b["begin"]).alias("back"), b["end"].alias("end")))  # noqa: B023
+        every.append(F.when(F.size(f"m{t}") > 0, best))
+    kind = "array<struct<dice:double,size:int,name:string,back:int,end:int>>"
+    rows = rows.select(*rest, "at", F.sort_array(F.flatten(F.array(*(F.coalesce(x, F.array().cast(kind)) for x in every))), asc=False).alias("tried"))
+    # a window of bigrams begin to end has the words begin to end + 1
+    apart = lambda p, x: (p["end"] + 1 < -x["back"]) | (x["end"] + 1 < -p["back"])
+    picked = F.aggregate("tried", F.array().cast(kind), lambda a, x: F.when(F.forall(a, lambda p: apart(p, x)), F.concat(a, F.array(x))).otherwise(a))
+    rows = rows.select(*rest, "at", picked.alias("picked"))
+    lines = F.transform("picked", lambda p: F.struct(p["dice"].alias("dice"), p["name"].alias("name"), F.get("at", -p["back"]).alias("first"), F.get("at", p["end"] + 1).alias("last")))
+    return rows.select(*rest, F.when(F.size("at") > 0, lines).otherwise(F.array().cast("array<struct<dice:double,name:string,first:int,last:int>>")).alias("windows"))
+
+
+def _best_end(marks: str, begin: Column, size: int, dice: float) -> Column:
+    """The end with the highest coefficient of windows from ``begin``, the first of equal ones; -1 where none reaches ``dice``."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("c"), F.lit(0.0).alias("dice"), F.lit(-1).alias("end"))
+
+    def step(a: Column, x: Column) -> Column:
+        new = x["prev"] < begin
+        n, c = a["n"] + new.cast("int"), a["c"] + (new & x["hit"]).cast("int")
+        value = 2.0 * c / (n + size)
+        better = new & x["hit"] & (value >= dice) & (value > a["dice"])
+        return F.struct(n.alias("n"), c.alias("c"), F.when(better, value).otherwise(a["dice"]).alias("dice"), F.when(better, x["i"]).otherwise(a["end"]).alias("end"))
+
+    return F.aggregate(F.slice(marks, begin + 1, F.size(marks)), zero, step, lambda a: F.struct(a["dice"].alias("dice"), begin.alias("begin"), a["end"].alias("end")))
+
+
 def oracle(dice: float = DICE) -> str:
     """The same in DuckDB's SQL over ``documents``."""
     values = ", ".join(f"({k}, '{name}', '{b}')" for k, (name, own) in enumerate(template_bigrams()) for b in own)

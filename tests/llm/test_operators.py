@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -199,6 +200,19 @@ def test_licences(spark, odd):
     assert licences.licences(odd).count() == len(ODD) and licences.licences(odd.limit(0)).count() == 0
 
 
+def test_licence_windows(spark):
+    notices = {name: text for name, text in licences.TEMPLATES}
+    wrap = lambda text: "\n".join(textwrap.wrap(text, 60))
+    prose = "\n".join(" ".join(f"w{k}x{j} of the" for j in range(12)) for k in range(80))
+    rows = [(k, f"{prose}\n# {wrap(notices[name])}\n{prose}") for k, name in enumerate(("MIT", "ISC", "Apache-2.0", "GPL-3.0", "MPL-2.0"))]
+    rows += [(10, f"{prose} and it is released under the MIT licence, so take it {prose}"), (11, f"{prose}\nReleased under the MIT License.\n{prose}"), (12, wrap(notices["ISC"]))]
+    rows += [(13, f"{prose}\n{wrap(notices['ISC'])}\n{prose}\n{wrap(notices['MPL-2.0'])}"), (14, prose), (15, "under the mit and no more " * 3)]
+    got = {r.doc_id: (r.licences, r.n_units, round(r.best_dice, 3)) for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k][0] for k in range(5)] == ["MIT", "ISC", "Apache-2.0", "GPL-3.0", "MPL-2.0"] and all(got[k][2] == 1.0 for k in range(5))
+    assert got[10][:2] == ("MIT", 1) and got[11] == ("MIT", 1, 1.0) and got[12] == ("ISC", 1, 1.0) and got[13] == ("ISC,MPL-2.0", 2, 1.0)
+    assert got[14] == got[15] == ("", 0, 0.0)
+
+
 def test_pii(spark, odd):
     text = "mail a.b@x.example.com at 10.0.0.300 or 10.0.0.3 card 4111 1111 1111 1111 call +1 (988) 555-2485 é password=b7db7aa4a5fcc78305x token = \"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae\""
     kinds = [k for _, _, k in pii.base_spans(text)]
