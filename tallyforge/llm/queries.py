@@ -29,8 +29,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged_replica(records: DataFrame) -> DataFrame:
-    """A second copy of the archives for the audit, every record of the table in it: some have a byte changed, some two
-    bytes exchanged for others of the same length."""
+    """A second copy of the archives for the audit, every record of the table in it: some have a byte changed, at equal
+    length.  Records lost, added, shortened or exchanged are in the tests only: the query's SQL expects changed ones."""
     payload = F.col("payload")
     changed = F.concat(F.substring(payload, 1, 20), F.lit("#").cast("binary"), payload.substr(F.lit(22), F.octet_length(payload)))
     return records.withColumn("payload", F.when(F.col("page_id") % 101 == 7, changed).otherwise(payload))

@@ -67,7 +67,9 @@ def audit(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     """Damaged records between two manifests (:func:`manifest` of each replica, or stored ones).
 
     One row per record that differs: archive, offset, length, page_id and ``damage``: ``changed`` (other bytes),
-    ``missing`` (only in ``mine``) or ``extra`` (only in ``theirs``).  Replicas that agree give no row.
+    ``missing`` (only in ``mine``) or ``extra`` (only in ``theirs``).  Replicas that agree give no row.  Records that
+    only lie at other offsets, behind one that is missing, extra or of another length, are not damaged: in the suspect
+    ranges what differs at its offset is matched by archive, page_id and hash, and what is left by archive and page_id.
     """
     a_leaves, b_leaves = cut(mine), cut(theirs)
     a_tree, b_tree = trees(a_leaves), trees(b_leaves)
@@ -84,8 +86,26 @@ def audit(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     suspects = cut(suspects)
     keep = suspects.select(F.col("archive").alias("_a"), F.col("node").alias("_n"))
     within = lambda x: x.join(keep, (F.col("archive") == F.col("_a")) & (F.floor(F.col("offset") / RANGES[0]) == F.col("_n")), "left_semi")
-    a = within(a_leaves).select("archive", "offset", F.col("length").alias("a_length"), F.col("page_id").alias("a_page"), "hash")
-    b = within(b_leaves).select("archive", "offset", F.col("length").alias("b_length"), F.col("page_id").alias("b_page"), F.col("hash").alias("other"))
-    found = a.join(b, ["archive", "offset"], "full").where(~F.col("hash").eqNullSafe(F.col("other")))
-    damage = F.when(F.col("other").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("changed")
-    return found.select("archive", "offset", F.coalesce("a_length", "b_length").alias("length"), F.coalesce("a_page", "b_page").alias("page_id"), damage.alias("damage"))
+    a, b = within(a_leaves), within(b_leaves)
+    a, b = cut(_unmatched(a, b, "archive", "offset", "hash")), cut(_unmatched(b, a, "archive", "offset", "hash"))
+    a, b = _unmatched(a, b, "archive", "page_id", "hash"), _unmatched(b, a, "archive", "page_id", "hash")
+    a, b = _numbered(a, "archive", "page_id"), _numbered(b, "archive", "page_id")
+    b = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
+    both = (F.col("archive") == F.col("b_archive")) & F.col("page_id").eqNullSafe(F.col("b_page_id")) & (F.col("_nth") == F.col("b__nth"))
+    damage = F.when(F.col("b_archive").isNull(), "missing").when(F.col("archive").isNull(), "extra").otherwise("changed")
+    return a.join(b, both, "full").select(*(F.coalesce(c, f"b_{c}").alias(c) for c in ("archive", "offset", "length", "page_id")), damage.alias("damage"))
+
+
+def _numbered(leaves: DataFrame, *by: str) -> DataFrame:
+    """Leaves that agree in ``by`` numbered by offset, so that each has one partner at most."""
+    nth = F.expr(f"row_number() over (partition by {', '.join(by)} order by offset, hash)")
+    return leaves.select("archive", "offset", "length", "page_id", "hash", nth.alias("_nth"))
+
+
+def _unmatched(leaves: DataFrame, others: DataFrame, *by: str) -> DataFrame:
+    """The leaves without a partner among the others that agrees in ``by``."""
+    partners = _numbered(others, *by).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_nth").alias("_other"))
+    same = F.col("_nth") == F.col("_other")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return _numbered(leaves, *by).join(partners, same, "left_anti").drop("_nth")

@@ -193,6 +193,24 @@ def test_fixity(spark):
     assert warc.audit(mine, mine).count() == 0
 
 
+def test_fixity_rebuilt(spark):
+    body = lambda k: f"body {k} " * (k % 50 + 1)
+    table = {k: body(k) for k in range(400)}
+    theirs = dict(table)
+    del theirs[17], theirs[100]  # lost, one the first of its archive
+    theirs[230] = table[230][:-5]  # shortened
+    theirs[231] = table[231] + "longer"
+    theirs[310], theirs[311] = table[311], table[310]  # exchanged
+    theirs[320] = "#" + table[320][1:]
+    theirs[450] = body(450)  # gained: an archive of its own
+    frame = lambda t, more: spark.createDataFrame([*((k, f"http://x/{k}", v) for k, v in t.items()), *more], "page_id long, url string, html string")
+    none = [(None, None, None), (None, "u", "v"), (None, "u", "v"), (5, "u", "again")]
+    mine = warc.manifest(warc.warc_records(frame(table, none), 100))
+    other = warc.manifest(warc.warc_records(frame(theirs, [none[0], none[1], none[3], (33, "u", "gained")]), 100))
+    got = sorted(((-1 if r.page_id is None else r.page_id), r.damage) for r in warc.audit(mine, other).collect())
+    assert got == [(-1, "missing"), (17, "missing"), (33, "extra"), (100, "missing"), *((k, "changed") for k in (230, 231, 310, 311, 320)), (450, "extra")]
+
+
 def test_licences(spark, odd):
     rows = [(1, "intro words\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "released under the mit licence"), (3, None), (4, "nothing to see")]
     got = {r.doc_id: r for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
