@@ -26,7 +26,8 @@ BUCKETS = 1 << 18
 WIDTH = 2
 SAMPLE, SAMPLE_CHARS = 1200, 4_000
 ROUNDS, RATE, DECAY, SCALE = 200, 1.0, 1e-4, 1.5
-#: N-grams of fewer texts than the least share of the sample, or than five, are left out; so are those of more than the most.
+#: N-grams of fewer texts than the least share of the sample, or than five, are left out, copies counted; so are those of
+#: more than the most share of the distinct texts of label 0: what many toxic texts have says most.
 LEAST_SHARE, MOST_SHARE = 0.02, 0.25
 THRESHOLD = 0.3
 
@@ -93,7 +94,8 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
     """The fit by full-batch gradient descent with momentum and weight decay on softmax cross-entropy, both labels weighing the same.
 
     A text's mean over words of means over n-grams is one sparse row over n-grams, built once.  N-grams of fewer than
-    ``LEAST_TEXTS`` texts are left out: they say nothing about other texts.  A tenth of the texts chooses the round that
+    ``LEAST_SHARE`` of the texts are left out (a least number of five was much worse on held-out rows).  Those of more than ``MOST_SHARE`` of the
+    distinct clean texts are left out too, whatever copies there are.  A tenth of the texts chooses the round that
     is kept and the bias that fits ``share`` of label 1 among all rows.
     """
     rng = np.random.default_rng(7)
@@ -103,7 +105,9 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> Model:
         return Model(np.zeros(BUCKETS, dtype=np.float32), prior)
     text, gram, value = text_rows(texts)
     many = np.bincount(gram, minlength=BUCKETS)
-    fine = (many[gram] >= max(5, LEAST_SHARE * len(texts))) & (many[gram] <= MOST_SHARE * len(texts))
+    clean = np.array([y == 0 and (t not in seen and not seen.add(t)) for seen in [set()] for t, y in zip(texts, labels.tolist(), strict=True)])
+    common = np.bincount(gram[clean[text]], minlength=BUCKETS)
+    fine = (many[gram] >= max(5, LEAST_SHARE * len(texts))) & (common[gram] <= MOST_SHARE * clean.sum())
     text, gram, value = text[fine], gram[fine], value[fine]
     used, gram = np.unique(gram, return_inverse=True)
     # common n-grams would drown the others in a mean: each is scaled to the same mean square, a constant of the n-gram

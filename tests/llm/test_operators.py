@@ -263,3 +263,15 @@ def test_toxicity(spark, odd):
     assert len(strange) == len(ODD) and all(0 <= r.score <= 1 for r in strange)
     assert toxicity.judge(odd.limit(0), model).count() == 0
     assert 0 <= toxicity.fit(odd.limit(0), frame.drop("text").limit(0)).scores([""])[0] < 0.3
+
+
+def test_toxic_copies():
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}" for a in ("lo", "ta", "mi", "ren", "so", "ba", "ku") for b in ("ra", "ne", "lit", "mo", "sen", "pu")]
+    plain = [" ".join(rng.choice(words, 12)) for _ in range(500)]
+    copied = "zorgling vexhag drubbity quaxen " * 3
+    toxic = [copied] * 380 + [f"{x} grumbo" for x in plain[:120]]
+    model = toxicity.train([*plain, *toxic], np.array([0] * len(plain) + [1] * len(toxic)), 0.3)
+    alone = model.scores([""])[0]
+    assert model.scores([copied])[0] > 0.8 > alone
+    assert np.mean(model.scores(plain[200:]) < toxicity.THRESHOLD) > 0.8
