@@ -54,7 +54,7 @@ def frequent_lines(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: fl
     """``(host, text_id, line, words)`` once for every line of a distinct text, and the boilerplate ``(host, line)``."""
     rows = docs.select(F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("text_id"), F.explode(line_words(normal_lines(F.col("text")))).alias("x"))
     lines = rows.groupBy("host", F.col("x.line").alias("line"), "text_id").agg(F.max("x.words").alias("words"))
-    sizes = docs.where("text is not null").select(F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("text_id")).groupBy("host").agg(F.approx_count_distinct("text_id", 0.01).alias("texts"))
+    sizes = docs.where("text is not null").select(F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("text_id")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_texts)
     sizes = sizes.select(F.col("host").alias("_host"), "texts")
     often = counts.join(sizes, counts.host == F.col("_host")).where(F.col("n") > line_share * F.col("texts"))
@@ -66,7 +66,7 @@ def quality(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = L
 
     Null text counts as no words; rows without a word fail the base rules.  A null source is a host of its own.
     Rows with the same text and source get the same verdict, repeated rows too.  Other columns are not read.
-    Lines are counted once per text, with hosts' sizes estimated to one percent; the line join is on host and line with
+    Lines are counted once per text, and so are the texts of a host; the line join is on host and line with
     a hot line split by adaptive execution, and only numbers are shuffled.
     """
     lines, often = frequent_lines(docs, line_texts, line_share)

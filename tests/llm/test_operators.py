@@ -182,6 +182,14 @@ def test_line_frequency(spark):
     assert got[0].kept and got[0].lines_removed == 1 and got[0].words_removed == 3 and not got[99].kept
 
 
+def test_large_hosts(spark):
+    # one percent of 2,100 texts is 21: a line in 21 of them is within the limit, one in 22 is over it
+    rows = spark.range(8 * 2100).selectExpr("id", "concat('h', id % 8) as source", "int(id / 8) as k")
+    rows = rows.selectExpr("id as doc_id", "source", "concat('own ', id, if(k < 21, '\\nat the limit', ''), if(k < 22, '\\nover the limit', '')) as text")
+    often = quality.frequent_lines(rows.union(rows.where("doc_id < 4000")))[1].collect()
+    assert sorted((r.host, r.n) for r in often) == [(f"h{k}", 22) for k in range(8)]
+
+
 def test_fixity(spark):
     pages = spark.createDataFrame([(k, f"http://x/{k}", "body %d " % k * (k % 50 + 1)) for k in range(400)] + [(None, None, None)], "page_id long, url string, html string")
     records = warc.warc_records(pages, 100)
