@@ -46,9 +46,21 @@ def _right(x: Column, k: Column) -> Column:
     return F.xxhash64(F.lit(2), k, F.call_function("substring_index", x, F.lit(" "), -k))
 
 
-def order_of(doc: Column, line: Column) -> Column:
-    """Document and line number as one number that aggregates without objects; rows with a null doc_id come last."""
-    return (F.coalesce(doc.cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)")) * F.lit(2**31).cast("decimal(11,0)") + line).cast(KEY)
+def row_of(docs: DataFrame) -> Column:
+    """What tells rows apart besides their doc_id: a hash of id and text.  Rows that agree in both are one document."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
+def order_of(doc: Column, row: Column, line: Column) -> Column:
+    """Document, row and line number as one number that aggregates without objects.
+
+    Rows that share a doc_id go by 30 bits of their hash, rows with a null one come last and go by all of it.
+    """
+    big = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    last = F.lit(str(2**63)).cast("decimal(20,0)") + F.shiftrightunsigned(row, 1).cast("decimal(19,0)")
+    first = F.coalesce(doc.cast("decimal(20,0)"), last.cast("decimal(20,0)"))
+    within = F.shiftrightunsigned(row, 34).cast("decimal(10,0)")
+    return (((first * big(2**30)).cast("decimal(30,0)") + within).cast("decimal(30,0)") * F.lit(2**31).cast("decimal(10,0)") + line).cast(KEY)
 
 
 def xor_all(hashes: Column) -> Column:
@@ -89,35 +101,37 @@ def _near(a: Column, b: Column) -> Column:
 
 
 def text_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """Lines of ``least`` words or more: ``doc_id, line_no`` (from 0), the normalised line ``x``, its hash and words."""
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(single_spaced(F.col("text")), "\n")).alias("line_no", "raw"))
-    rows = rows.select("doc_id", "line_no", F.trim("raw").alias("x"))
+    """Lines of ``least`` words or more: ``doc_id, row, line_no`` (from 0), the normalised line ``x``, its hash and words."""
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_of(docs).alias("row"), F.posexplode(F.split(single_spaced(F.col("text")), "\n")).alias("line_no", "raw"))
+    rows = rows.select("doc_id", "row", "line_no", F.trim("raw").alias("x"))
     # the filter stops at the last space it needs; counting the words is left to the lines that stay
     rows = rows.where(F.octet_length(F.call_function("substring_index", "x", F.lit(" "), F.lit(least - 1))) < F.octet_length("x"))
-    return rows.select("doc_id", "line_no", "x", F.xxhash64("x").alias("line"), (spaces(F.col("x")) + 1).alias("n"))
+    return rows.select("doc_id", "row", "line_no", "x", F.xxhash64("x").alias("line"), (spaces(F.col("x")) + 1).alias("n"))
 
 
 def repeated_lines(docs: DataFrame, exact_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, line_no)`` of every line with an equal or near line before it, once for each row that has it.
+    """``(doc_id, row, line_no)`` of every line with an equal or near line before it; ``row`` as of :func:`row_of`.
 
     Lines of ``exact_words`` words or more are compared for equality (1: all that hold a word), those of MIN_WORDS or
     more, which alone have half-line keys, for nearness too.
 
-    Null texts have no lines.  Rows that share a doc_id count as one document: their lines are ordered by number, and
-    a line equal to one at the same document and number is not a repeat of it.
+    Null texts have no lines.  Rows that share a doc_id, or have none, are documents of their own; rows that agree in id
+    and text are one, whose lines are no repeats of themselves.
     """
     lines = text_lines(docs, exact_words)
-    at = order_of(F.col("doc_id"), F.col("line_no")).alias("at")
+    at = order_of(F.col("doc_id"), F.col("row"), F.col("line_no")).alias("at")
     # one narrow table of all lines: hashes, no text
-    every = cut(lines.select("doc_id", "line_no", "line", *(F.when(F.col("n") >= MIN_WORDS, k).alias(name) for name, k in half_keys(F.col("x"), F.col("n")).items())))
+    every = cut(lines.select("doc_id", "row", "line_no", "line", *(F.when(F.col("n") >= MIN_WORDS, k).alias(name) for name, k in half_keys(F.col("x"), F.col("n")).items())))
     firsts = cut(every.groupBy("line").agg(F.min(at).alias("at"), *(F.min(h).alias(h) for h in HALVES)))
     halves = firsts.where("h1 is not null").select("line", F.explode(F.array_distinct(F.array(*HALVES))).alias("half"))
     shared = halves.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high")
     paired = halves.withColumn("_key", shifted("half")).join(shared.select(shifted("half").alias("_key")), "_key", "left_semi")
-    paired = paired.select("line").distinct().hint("shuffle_hash")
-    # texts of the lines that may have a near one; the earliest occurrence stands for all equal ones
-    texts = lines.select("line", at, "x", "n").join(paired, "line")
-    texts = texts.join(firsts.select("line", "at").hint("shuffle_hash"), ["line", "at"]).dropDuplicates(["line"])
+    paired = paired.select("line").distinct().join(firsts.select("line", "at"), "line")
+    # texts of the lines that may have a near one; the earliest occurrence stands for all equal ones.  Line and place are
+    # the key, so that the occurrences of a hot line are dealt over all tasks
+    place = F.xxhash64("line", "at")
+    texts = lines.select("line", at, "x", "n").withColumn("_key", place).join(paired.select(place.alias("_key"), F.col("line").alias("_l"), F.col("at").alias("_a")).hint("shuffle_hash"), "_key")
+    texts = texts.where((F.col("line") == F.col("_l")) & (F.col("at") == F.col("_a"))).dropDuplicates(["_key"])
     texts = cut(texts.select("line", "at", "x", "n"))
     keys = variants(texts)
     # the earliest of each key and position, and of each key among whole lines and among variants
@@ -136,16 +150,20 @@ def repeated_lines(docs: DataFrame, exact_words: int = MIN_WORDS) -> DataFrame:
     checked = matches.join(texts.select("line", "x"), "line").join(earlier, "other").where(near(F.col("x"), F.col("y")))
     gone = checked.select("line").distinct()
     marks = firsts.select("line", F.col("at").alias("first")).join(gone.withColumn("gone", F.lit(True)), "line", "left").withColumn("_key", shifted("line"))
-    found = every.select("doc_id", "line_no", shifted("line").alias("_key"), at).join(marks.select("_key", "first", "gone"), "_key").where((F.col("at") > F.col("first")) | F.col("gone"))
-    return found.select("doc_id", "line_no").distinct()
+    found = every.select("doc_id", "row", "line_no", shifted("line").alias("_key"), at).join(marks.select("_key", "first", "gone"), "_key").where((F.col("at") > F.col("first")) | F.col("gone"))
+    return found.select("doc_id", "row", "line_no").distinct()
+
+
+def removed_by_row(docs: DataFrame, exact_words: int) -> DataFrame:
+    """``(_id, _row, removed)``: the line numbers to remove, in order, of each row that has some (null ids as 0)."""
+    found = repeated_lines(docs, exact_words).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("row").alias("_row"))
+    return found.agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
 
 
 def line_report(docs: DataFrame, exact_words: int = MIN_WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines (by line feeds), n_removed and the removed line numbers, from 0 in order."""
-    removed = repeated_lines(docs, exact_words).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")).agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_null", F.col("doc_id").isNull())
-    out = rows.join(removed, ["_id", "_null"], "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_of(docs).alias("_row"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    out = rows.withColumn("_id", F.coalesce("doc_id", F.lit(0))).join(removed_by_row(docs, exact_words), ["_id", "_row"], "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
@@ -160,11 +178,11 @@ def without_lines(text: Column, removed: Column) -> Column:
 def dedup_lines(docs: DataFrame, exact_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; documents left without any word go if they lost a line.
 
-    Columns stay as they are, ``n_chars`` follows the text where it is there.  Null texts stay null.
+    Columns stay as they are, ``n_chars`` follows the text where it is there.  Null texts stay null.  Rows that share a
+    doc_id, or have none, lose their own repeats only (:func:`repeated_lines`).
     """
-    removed = repeated_lines(docs, exact_words).groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")).agg(F.sort_array(F.collect_list("line_no")).alias("_removed"))
-    id_ = F.col("doc_id").cast("long")
-    rows = docs.withColumn("_id", F.coalesce(id_, F.lit(0))).withColumn("_null", id_.isNull()).join(removed, ["_id", "_null"], "left")
+    removed = removed_by_row(docs, exact_words).withColumnRenamed("removed", "_removed")
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_row", row_of(docs)).join(removed, ["_id", "_row"], "left")
     rows = rows.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("_removed"))))
     rows = rows.where(F.col("_removed").isNull() | (F.trim(plain(F.col("text"))) != ""))
     if "n_chars" in docs.columns:

@@ -160,6 +160,18 @@ def test_short_lines(spark, docs):
     assert {r.doc_id: r.text for r in lines.dedup_lines(few, exact_words=1).collect()} == {1: few.first().text, 2: "one two three five\n\n \n"}
 
 
+@pytest.mark.parametrize("same", [None, 9, -3])
+def test_rows_that_share_an_id(spark, same):
+    rows = [(1, "a line that many have in common"), (same, "a line that many have in common\nkeep this very own line of words"), (same, "another line that is only here today\na line that many have in common"), (same, None), (same, "third row\nthird row")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.text or "" for r in lines.dedup_lines(docs, exact_words=1).collect())
+    if same == -3:  # before the first document: one of its rows holds the earliest
+        assert sum("a line that many" in t for t in got) == 1 and sum("keep this very own" in t for t in got) == sum("only here today" in t for t in got) == 1
+    else:
+        assert got == ["", "a line that many have in common", "another line that is only here today", "keep this very own line of words", "third row"]
+    assert lines.line_report(docs.union(docs), exact_words=1).count() == 10
+
+
 def test_quality(spark, odd, docs):
     for frame in (docs, odd):
         texts = {(r.doc_id): r.text or "" for r in frame.collect()}
