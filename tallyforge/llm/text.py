@@ -46,6 +46,12 @@ def joined(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     return whole, points, starts
 
 
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The positions ``first[k] : first[k] + count[k]`` of all k, one behind another."""
+    behind = np.cumsum(count)
+    return np.repeat(first - (behind - count), count) + np.arange(int(behind[-1]) if len(behind) else 0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), in place where it can."""
     h = h ^ (h >> np.uint64(32))

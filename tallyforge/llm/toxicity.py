@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyforge.llm.text import P64, joined, mix, runs, slice_hashes, word_slices
+from tallyforge.llm.text import P64, joined, mix, runs, slice_hashes, spread, word_slices
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
@@ -88,11 +88,6 @@ def word_ngrams(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple
     return bucket[order], np.bincount(owner, minlength=len(begin))
 
 
-def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The positions ``first[k] : first[k] + count[k]`` of all k, one behind another."""
-    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-
-
 def group_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive groups of these sizes; empty ones give zero."""
     out = np.zeros((len(counts), *values.shape[1:]), dtype=values.dtype)

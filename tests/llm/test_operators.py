@@ -45,6 +45,10 @@ def test_bpe(spark, odd, docs):
 def test_packing(spark, odd, docs):
     encoder = Tokenizer.from_file(BYTE)
     encoder.encode_special_tokens = True
+    strange = packing.pack(odd, BYTE).collect()  # null id and repeated rows: each is packed by itself
+    for doc_id, times in ((None, 1), (7, 2)):
+        mine = [r for r in strange if r.doc_id == doc_id]
+        assert sum(r.length for r in mine) == times * mine[0].doc_tokens
     for frame in (docs, odd.where("doc_id < 7")):
         rows = packing.pack(frame, BYTE).collect()
         by_doc, by_sequence = {}, {}
