@@ -36,7 +36,6 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk_live_", "sk-", "x
 CONTEXT = re.compile(r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|passport|iban|ssn)\W{0,4}$", re.IGNORECASE)
 ASSIGNED = re.compile(r"^[A-Za-z_][A-Za-z0-9_.-]{2,30}[=:][\"']?")
 LABELERS = ("hexadecimal", "mixed", "prefix", "context", "assigned", "short", "plain")
-LONGEST = 512
 
 Span = tuple[int, int, str]
 
@@ -103,15 +102,15 @@ def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
 
 
 def examine(text: str, start: int, end: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """Votes of the labelers (1 private, -1 not, 0 nothing) and features (0/1) of a candidate."""
-    token = text[start : min(end, start + LONGEST)]
+    """Votes of the labelers (1 private, -1 not, 0 nothing) and features (0/1) of a candidate, from the whole of it."""
+    token = text[start:end]
     key = ASSIGNED.match(token)
     value = token[key.end() :] if key else token
     digits = sum("0" <= c <= "9" for c in value)
     upper, lower = any("A" <= c <= "Z" for c in value), any("a" <= c <= "z" for c in value)
     hexadecimal = len(value) >= 16 and digits < len(value) and all(c in "0123456789abcdefABCDEF" for c in value)
     mixed = len(value) >= 16 and upper and digits > 1 and value.isascii() and all(c.isalnum() or c in "_-+/=" for c in value)
-    prefix = any(p in token[:40] for p in PREFIXES)
+    prefix = any(p in token for p in PREFIXES)
     before = text[max(0, start - 40) : start + (key.end() if key else 0)]
     context = bool(CONTEXT.search(before.rstrip()) or key and CONTEXT.search(key[0]))
     short = len(value) < 10
@@ -236,7 +235,12 @@ def find_spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
 
 
 def digest(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
-    """Per row: doc_id, numbers of spans of each fixed kind, the digest of those spans, and all spans as text."""
+    """Per row: doc_id, numbers of spans of each fixed kind, the digest of those spans, and all spans as text.
+
+    Null and empty texts have no spans: zeros, the digest of no bytes and an empty text.  A null doc_id stays null.  Rows are
+    looked at one by one, so repeated ones have equal results; they count as often as they are there when votes are
+    aggregated.  Other columns are not read.
+    """
     found = find_spans(docs.selectExpr("cast(doc_id as long) doc_id", "text"), model)
     shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["begin"].cast("string"), x["end"].cast("string"))), ",")
     number = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
