@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,11 +18,13 @@ CHUNK = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or where there is none (tests)
-    a temporary one, which the session then keeps."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.  Where there is none, a local
+    session (tests) takes a temporary one and keeps it; a cluster is refused, whose machines would not see it."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -109,19 +114,31 @@ def roots(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every end of ``edges (u, v)``; a component is named by its smallest node.
 
-    Labels go to neighbours and then jump to their label's label, so the rounds grow with the logarithm of the
-    diameter; each round is written to the checkpoint folder and only a count comes to the driver.
+    Every node has a parent, at first its smallest neighbour.  In each round a node offers the smallest grandparent among
+    its neighbours to itself and to its parent, so whole trees are hooked at their roots, and takes its grandparent as
+    parent: the rounds grow with the logarithm of the size, on paths too.  Each round is a table in the shared folder, over
+    the one of two rounds before, and only a count comes to the driver; offers to a root that a third of all nodes have
+    are reduced before they move.  (A checkpoint would carry the planner's size estimate on, which every join multiplies.)
     """
-    both = cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")))
-    while True:
-        near = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("n")).agg(F.min("component").alias("offer"))
-        near = near.select(shifted("n").alias("_key"), "offer")
-        step = labels.withColumn("_key", shifted("node")).join(near, "_key")
-        step = step.select("node", F.col("component").alias("old"), F.least("component", "offer").alias("low"))
-        ahead = labels.select(F.col("node").alias("_at"), F.col("component").alias("_ahead"))
-        step = step.join(ahead, step.low == ahead["_at"], "left").select("node", "old", F.least("low", "_ahead").alias("component"))
-        step = cut(step)
+    spark, folder = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/components-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    both = kept(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
+    labels = kept(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")), "even")
+    for number in itertools.count(1):
+        above = labels.select(F.col("node").alias("_at"), F.col("component").alias("top"))
+        high = labels.join(above, labels.component == above["_at"]).select("node", "component", "top")
+        near = both.join(high.select(F.col("node").alias("_v"), "top"), F.col("v") == F.col("_v"))
+        near = near.groupBy("u").agg(F.min("top").alias("low")).select(shifted("u").alias("_key"), "low")
+        low = F.least("low", "top")
+        offers = high.withColumn("_key", shifted("node")).join(near, "_key").select(
+            F.explode(F.array(F.struct("node", low.alias("offer"), F.col("component").alias("old")), F.struct(F.col("component").alias("node"), low.alias("offer"), F.lit(None).cast("long").alias("old")))).alias("o")
+        )
+        step = offers.groupBy(F.col("o.node").alias("node")).agg(F.min("o.offer").alias("component"), F.max("o.old").alias("old"))
+        step = kept(step, ("even", "odd")[number % 2])
         labels = step.select("node", "component")
         if not step.where("old <> component").limit(1).count():
             return labels

@@ -8,7 +8,8 @@ whole shingle sets.
 Two rounds of bounded blocks keep groups of any size off single tasks and pairs out of Spark's rows: the first prunes
 within band buckets on sketches alone and returns the edges of spanning forests, the second compares all members of
 each candidate group, again pruning first, and returns numbers of links and forests of verified links.  Texts are
-shuffled once, and only those of candidate groups go on to blocks.
+shuffled once, to the rows of candidate groups, and become sets of shingle hashes there; the sets go to as many blocks as
+their group has chunks, since every two members of a group have to meet for the number of links to be exact.
 """
 
 from __future__ import annotations
@@ -171,7 +172,13 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     # each text goes once over the shuffle, to its few rows; then only texts of groups go on
     wanted = dealt.groupBy("row").agg(F.count("*").alias("_times")).select("row").hint("shuffle_hash")
     texts = keyed.select("row", "text").join(wanted, "row").dropDuplicates(["row"])
-    blocks = dealt.join(texts, "row").drop("row")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in runs(batches):
+            sets = [x.astype("<u8").tobytes() for x in text_shingles(texts, width)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.binary())], names=["row", "shingles"])
+
+    blocks = dealt.join(texts.mapInArrow(shingled, "row long, shingles binary"), "row").drop("row")
 
     def verified(block: pa.Table) -> pa.RecordBatch | None:
         node, copies = block.column("node").to_numpy(), block.column("copies").to_numpy()
@@ -181,10 +188,8 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
         used = np.unique(np.concatenate((i, j)))
         place = np.zeros(len(node), dtype=np.int64)
         place[used] = np.arange(len(used))
-        column = block.column("text")
-        sets = []
-        for at in range(0, len(used), 64):
-            sets += text_shingles([column[k].as_py() for k in used[at : at + 64].tolist()], width)
+        column = block.column("shingles")
+        sets = [np.frombuffer(column[k].as_py(), dtype="<u8") for k in used.tolist()]
         hit = exact_links(sets, place[i], place[j], similarity)
         i, j = i[hit], j[hit]
         links = np.zeros(len(node), dtype=np.int64)
