@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.graph import shifted
+from tallyforge.llm.graph import cut
 
 #: Fixed values of the rules: blanks besides the space, and symbols, as character classes.
 BLANKS, SYMBOLS = r"\t\n\x0B\x0C\r", r"[#*$%&|<>]+"
@@ -42,7 +42,7 @@ def single_spaced(text: Column) -> Column:
 
 def normal_lines(text: Column) -> Column:
     """The lines in lower case with single spaces, trimmed; without those that hold no word."""
-    return F.array_remove(F.transform(F.split(single_spaced(text), "\n"), F.trim), "")
+    return F.array_remove(F.transform(F.split(single_spaced(text), "\n"), lambda x: F.trim(x)), "")
 
 
 def line_words(lines: Column) -> Column:
@@ -50,35 +50,39 @@ def line_words(lines: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (spaces(x) + 1).alias("words"))))
 
 
-def frequent_lines(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE) -> tuple[DataFrame, DataFrame]:
-    """``(host, text_id, line, words)`` once for every line of a distinct text, and the boilerplate ``(host, line)``."""
-    rows = docs.select(F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("text_id"), F.explode(line_words(normal_lines(F.col("text")))).alias("x"))
-    lines = rows.groupBy("host", F.col("x.line").alias("line"), "text_id").agg(F.max("x.words").alias("words"))
-    sizes = docs.where("text is not null").select(F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("text_id")).distinct().groupBy("host").agg(F.count("*").alias("texts"))
+def host_texts(docs: DataFrame) -> DataFrame:
+    """``(host, text_id, lines)`` per row: the source (null: empty), a hash of the text (null: null) and its distinct lines."""
+    return docs.select(F.coalesce("source", F.lit("")).alias("host"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_id"), line_words(normal_lines(F.coalesce("text", F.lit("")))).alias("lines"))
+
+
+def frequent_lines(texts: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE) -> DataFrame:
+    """The boilerplate ``(host, line, n)`` of rows of :func:`host_texts`: n distinct texts of the host hold the line."""
+    lines = texts.select("host", "text_id", F.explode("lines").alias("x")).select("host", "text_id", "x.line").distinct()
+    sizes = texts.where("text_id is not null").select("host", "text_id").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_texts)
     sizes = sizes.select(F.col("host").alias("_host"), "texts")
     often = counts.join(sizes, counts.host == F.col("_host")).where(F.col("n") > line_share * F.col("texts"))
-    return lines, often.select("host", "line", "n")
+    return often.select("host", "line", "n")
 
 
 def quality(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
     """Per row of ``docs (doc_id, text, source)``: counts, base_failed, kept, lines_removed, words_removed.
 
     Null text counts as no words; rows without a word fail the base rules.  A null source is a host of its own.
-    Rows with the same text and source get the same verdict, repeated rows too.  Other columns are not read.
-    Lines are counted once per text, and so are the texts of a host; the line join is on host and line with
-    a hot line split by adaptive execution, and only numbers are shuffled.
+    Copies of one text are one document to the counts.  Rows with the same text and source get the same verdict, repeated
+    rows too.  Other columns are not read.
+
+    Documents are read once: counts, hashes of lines and numbers of their words go to a narrow table, and lines are
+    counted and looked up from there, joined on host and line.
     """
-    lines, often = frequent_lines(docs, line_texts, line_share)
+    base = cut(within_text(docs).withColumn("_row", F.monotonically_increasing_id()))
+    often = frequent_lines(base, line_texts, line_share)
     salts = 32  # a line that every document holds is spread over as many tasks; the few boilerplate lines are repeated
     often = often.select(F.col("host").alias("_host"), F.col("line").alias("_line"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    hit = lines.withColumn("_own", F.pmod("text_id", F.lit(salts)).cast("int"))
-    hit = hit.join(often, (hit.host == often["_host"]) & (hit.line == often["_line"]) & (hit["_own"] == often["_salt"]))
-    removed = hit.groupBy("host", "text_id").agg(F.count("*").alias("lines_removed"), F.sum("words").alias("words_removed"))
-    removed = removed.select(F.xxhash64("host", "text_id").alias("_text"), "lines_removed", "words_removed")
-    removed = removed.groupBy(shifted("_text").alias("_key")).agg(F.max("lines_removed").alias("lines_removed"), F.max("words_removed").alias("words_removed"))
-    base = within_text(docs)
-    out = base.withColumn("_key", shifted("_text")).join(removed, "_key", "left")
+    own = base.select("_row", "host", F.pmod("_row", F.lit(salts)).cast("int").alias("_own"), F.explode("lines").alias("x"))
+    hit = own.join(often, (own.host == often["_host"]) & (F.col("x.line") == often["_line"]) & (own["_own"] == often["_salt"]))
+    removed = hit.groupBy(F.col("_row").alias("_key")).agg(F.count("*").alias("lines_removed"), F.sum("x.words").alias("words_removed"))
+    out = base.join(removed, base["_row"] == removed["_key"], "left")
     left = F.col("line_words") - F.coalesce("words_removed", F.lit(0))
     depleted = (F.coalesce("words_removed", F.lit(0)) > 0) & ((left < least_left * F.col("line_words")) | (left < MIN_WORDS / 2))
     return out.select(
@@ -90,7 +94,7 @@ def quality(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = L
 
 
 def within_text(docs: DataFrame) -> DataFrame:
-    """The counts of one text alone, and its key for the join with what other documents say about its lines.
+    """The counts of one text alone, and the columns of :func:`host_texts`.
 
     Words in 3-word windows that occur twice or more are counted from the sorted 64-bit hashes of the windows: equal
     neighbours mark their positions, and each marked window adds three words, or fewer where the next begins within it.
@@ -100,17 +104,18 @@ def within_text(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(f"[^ {BLANKS}]")))
     steps = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64(F.coalesce("source", F.lit("")), F.xxhash64("text")).alias("_text"),
+        F.coalesce("source", F.lit("")).alias("host"),
+        F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("text_id"),
         words_of(text).alias("words"),
         (F.octet_length(text) - F.octet_length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
-        normal_lines(text).alias("normal"),
+        line_words(normal_lines(text)).alias("distinct_lines"),
     )
     n, words = F.size("words"), F.col("words")
     steps = steps.select(
-        "doc_id", "_text", F.length(F.array_join(words, "")).cast("long").alias("word_chars"), "n_symbols", n.cast("long").alias("n_words"),
+        "doc_id", "host", "text_id", F.col("distinct_lines").alias("lines"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), "n_symbols", n.cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.aggregate(line_words(F.col("normal")), F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("line_words"),
+        F.aggregate("distinct_lines", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("line_words"),
         F.when(n > 3, F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))).alias("windows"),
     )
     steps = steps.withColumn("windows", F.slice("windows", 1, F.greatest(F.lit(0), F.size("windows") - 2)))
@@ -122,6 +127,6 @@ def within_text(docs: DataFrame) -> DataFrame:
     marked = F.col("marked")
     gaps = F.transform(marked, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(marked, k + 1) - x, F.lit(3))))
     repeated = F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
-    steps = steps.select("doc_id", "_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"), "line_words")
+    steps = steps.select("doc_id", "host", "text_id", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"), "line_words")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return steps.withColumn("base_failed", failed)

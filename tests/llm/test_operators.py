@@ -198,11 +198,45 @@ def test_line_frequency(spark):
     assert got[0].kept and got[0].lines_removed == 1 and got[0].words_removed == 3 and not got[99].kept
 
 
+def test_verdicts_against_brute_force(spark, docs):
+    rows = [(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()]
+    menu = ["home about contact us", "all rights  RESERVED here", "x"]
+    body = lambda k, n: " ".join(f"u{k}v{j}" for j in range(n))
+    long = body("x", 40)
+    rows += [(10_000 + k, f"{menu[0]}\n{body(k, 60)}\n{menu[k % 2]}\n{long}", "h") for k in range(60)] + [(11_000 + k, f"{menu[1]} \n{body(k, 51)}\n{menu[0]}", None) for k in range(15)]
+    rows += [(12_000 + k, "\n".join(menu) + "\n" + " ".join(f"w{j}" for j in range(45)), "h") for k in range(30)] + [(13_000, long + "\n" + body(99, 12), "h"), (13_001, None, "h"), (13_002, "", None)]
+    for share, limit in ((0.01, 20), (0.4, 3)):
+        held, texts = {}, {}
+        norm = lambda t: {" ".join(re.findall(r"[^\x20\x09-\x0D]+", x.lower())) for x in (t or "").split("\n")} - {""}
+        for _, t, h in rows:
+            if t is not None:
+                texts.setdefault(h or "", set()).add(t)
+                for x in norm(t):
+                    held.setdefault((h or "", x), set()).add(t)
+        wanted = {}
+        for d, t, h in rows:
+            own = norm(t)
+            gone = [x for x in own if len(held[h or "", x]) > limit and len(held[h or "", x]) > share * len(texts[h or ""])]
+            w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+            windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+            count = {x: 0 for x in windows}
+            for x in windows:
+                count[x] += 1
+            marked = {k + i for k, x in enumerate(windows) if count[x] > 1 for i in range(3)}
+            failed = len(w) < 50 or 100 * len(marked) > 50 * len(w)
+            total, lost = sum(len(x.split(" ")) for x in own), sum(len(x.split(" ")) for x in gone)
+            wanted[d] = (failed, not failed and not (lost > 0 and (total - lost < 0.3 * total or total - lost < 25)), len(gone), lost)
+        frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = {r.doc_id: (r.base_failed, r.kept, r.lines_removed, r.words_removed) for r in quality.quality(frame, limit, share).collect()}
+        assert got == wanted
+        assert got[13_000] == (False, False, 1, 40)
+
+
 def test_large_hosts(spark):
     # one percent of 2,100 texts is 21: a line in 21 of them is within the limit, one in 22 is over it
     rows = spark.range(8 * 2100).selectExpr("id", "concat('h', id % 8) as source", "int(id / 8) as k")
     rows = rows.selectExpr("id as doc_id", "source", "concat('own ', id, if(k < 21, '\\nat the limit', ''), if(k < 22, '\\nover the limit', '')) as text")
-    often = quality.frequent_lines(rows.union(rows.where("doc_id < 4000")))[1].collect()
+    often = quality.frequent_lines(quality.host_texts(rows.union(rows.where("doc_id < 4000")))).collect()
     assert sorted((r.host, r.n) for r in often) == [(f"h{k}", 22) for k in range(8)]
 
 
