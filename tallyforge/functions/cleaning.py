@@ -65,7 +65,7 @@ def should_review(field: Column, value: Column, confidence: Column) -> Column:
         low = low | ((field == name) & (confidence < least))
     return (
         low
-        | ((field == "transaction_id") & ~F.rlike(value, F.lit(r"(?U)^\d{10,11}$")))
+        | ((field == "transaction_id") & ~F.rlike(F.replace(value, F.lit(" "), F.lit("")), F.lit(r"(?U)^\d{10,11}$")))
         | ((field == "amount") & ~F.rlike(value, F.lit(r"(?U)\d")))
         | (field.isin("from_account", "to_account") & ~F.rlike(F.replace(value, F.lit(" "), F.lit("")), F.lit(r"(?U)^\d{16}$")))
     )

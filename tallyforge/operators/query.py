@@ -9,17 +9,31 @@ from tallyforge.functions.cleaning import contains_like, parsed_amount
 from tallyforge.schemas import FIELDS
 
 
+def last_field(fields: DataFrame) -> Column:
+    """Aggregate: value and confidence of the last of repeated field rows, both of one row.
+
+    ``field_id`` numbers rows in the order in which they were stored; without it the greatest (value, confidence) is taken.
+    """
+    item = F.struct(F.col("field_value").alias("value"), F.col("ocr_confidence").alias("confidence"))
+    return F.max_by(item, "field_id") if "field_id" in fields.columns else F.max(item)
+
+
 def flat(fields: DataFrame) -> DataFrame:
     """One row per ``transaction_id`` (the key), the value of each of the seven fields as a column; the last wins."""
     rows = fields.withColumnRenamed("transaction_id", "txn_pk")
-    return rows.groupBy("txn_pk").pivot("field_name", list(FIELDS)).agg(F.max("field_value"))
+    rows = rows.groupBy("txn_pk").pivot("field_name", list(FIELDS)).agg(last_field(fields))
+    return rows.select("txn_pk", *(F.col(f"{f}.value").alias(f) for f in FIELDS))
+
+
+def listing(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A list and its total, as two plans over the same rows: ``total`` is one row, the list is not gathered anywhere."""
+    return rows.agg(F.count("*").alias("total")), rows
 
 
 def hydrate(transactions: DataFrame, fields: DataFrame, issues: DataFrame | None = None) -> DataFrame:
     """Transactions with a map of their fields and a list of their issues, empty where there are none."""
-    item = F.struct("field_name", F.struct(F.col("field_value").alias("value"), F.col("ocr_confidence").alias("confidence")))
-    maps = fields.groupBy(F.col("transaction_id").alias("_id"), "field_name").agg(F.max("field_value").alias("field_value"), F.max("ocr_confidence").alias("ocr_confidence"))
-    maps = maps.groupBy("_id").agg(F.map_from_entries(F.sort_array(F.collect_list(item))).alias("fields"))
+    maps = fields.groupBy(F.col("transaction_id").alias("_id"), "field_name").agg(last_field(fields).alias("last"))
+    maps = maps.groupBy("_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field_name", "last")))).alias("fields"))
     out = transactions.join(maps, transactions["id"] == maps["_id"], "left").drop("_id")
     if issues is not None:
         lists = issues.groupBy(F.col("transaction_id").alias("_id")).agg(F.collect_list(F.struct("field_name", "severity", "message")).alias("issues"))
@@ -35,8 +49,8 @@ def recent(transactions: DataFrame, fields: DataFrame, as_of: Column, days: int
     """Receipts of the last days, newest first, with value and confidence of each field as columns."""
     rows = transactions.where(F.col("created_at") >= as_of - F.make_dt_interval(F.lit(days)))
     rows = rows if include_pending else rows.where("needs_review = 0")
-    wide = fields.withColumnRenamed("transaction_id", "txn_pk").groupBy("txn_pk").pivot("field_name", list(FIELDS)).agg(F.max("field_value").alias("value"), F.max("ocr_confidence").alias("confidence"))
-    wide = wide.select("txn_pk", *(F.col(f"{f}_value").alias(f) for f in FIELDS), *(F.col(f"{f}_confidence") for f in FIELDS))
+    wide = fields.withColumnRenamed("transaction_id", "txn_pk").groupBy("txn_pk").pivot("field_name", list(FIELDS)).agg(last_field(fields))
+    wide = wide.select("txn_pk", *(F.col(f"{f}.value").alias(f) for f in FIELDS), *(F.col(f"{f}.confidence").alias(f"{f}_confidence") for f in FIELDS))
     return rows.join(wide, rows["id"] == wide["txn_pk"], "left").drop("txn_pk").orderBy(F.desc("created_at"), F.desc("id"))
 
 

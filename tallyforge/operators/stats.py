@@ -63,9 +63,12 @@ def period(rollup: DataFrame, transactions: DataFrame, fields: DataFrame, as_of:
     return rows.agg(*sums, *means).crossJoin(total_amount(transactions, fields, since))  # two rows of one
 
 
-def batch_summary(transactions: DataFrame) -> DataFrame:
+def batch_summary(transactions: DataFrame, seconds: Column | None = None) -> DataFrame:
+    """One row over a batch; ``seconds`` is the time each receipt took, where it is known."""
     good = F.sum(1 - F.col("needs_review"))
+    took = F.lit(0.0) if seconds is None else seconds
     return transactions.agg(
         F.count("*").alias("total"), F.coalesce(good, F.lit(0)).cast("long").alias("successful"), F.coalesce(F.sum("needs_review"), F.lit(0)).cast("long").alias("needs_review"),
         F.coalesce(F.avg("overall_confidence"), F.lit(0.0)).alias("avg_confidence"), F.coalesce(good / F.count("*"), F.lit(0.0)).alias("success_rate"),
+        F.coalesce(F.avg(took), F.lit(0.0)).alias("avg_seconds"),
     )

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators import query
 from tallyforge.schemas import FIELDS
 
 
@@ -26,12 +27,19 @@ def to_issues(wide: DataFrame, key: str = "id") -> DataFrame:
 
 
 def confirmed(bodies: DataFrame, column: str = "body") -> DataFrame:
-    """Receipts from JSON bodies whose fields are objects with a value or plain values; empty ones are left out."""
+    """Receipts from JSON bodies whose fields are objects with a value or plain values.
+
+    Values that are nothing (null, empty text, the number zero, false, empty objects and lists) are left out; the text "0" is
+    something.
+    """
     get = lambda path: F.get_json_object(column, path)
+    whole = F.try_parse_json(column)
+    kind = lambda f: F.coalesce(F.schema_of_variant(F.try_variant_get(whole, f"$.{f}", "variant")), F.lit("VOID"))
     fields = []
     for f in FIELDS:
         value = F.coalesce(get(f"$.{f}.value"), get(f"$.{f}"))
-        fields.append(F.when((value != "") & ~value.isin("0", "false", "{}", "[]"), F.struct(value.alias("value"), F.lit(1.0).alias("confidence"))).alias(f))
+        nothing = (get(f"$.{f}") == "") | F.when(kind(f) == "STRING", F.lit(False)).otherwise(get(f"$.{f}").isin("false", "{}", "[]") | (get(f"$.{f}").try_cast("double") == 0))
+        fields.append(F.when(value.isNotNull() & ~F.coalesce(nothing, F.lit(False)), F.struct(value.alias("value"), F.lit(1.0).alias("confidence"))).alias(f))
     return bodies.select(F.coalesce(get("$.filename"), F.lit("manual_entry.jpg")).alias("filename"), F.lit("green").alias("receipt_type"), F.lit(1.0).alias("overall_confidence"), F.lit(0).alias("needs_review"), F.lit("verified").alias("status"), *fields)
 
 
@@ -61,3 +69,45 @@ def after_delete(rows: DataFrame, events: DataFrame, cascade: bool = False) -> D
         return rows
     gone = events.where("kind = 'delete'").select(F.col("txn_pk").alias("_t")).distinct()
     return rows.join(gone, rows["transaction_id"] == gone["_t"], "left_anti")
+
+
+def ingest(results: DataFrame, as_of: Column, after_id: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Validated rows (``filename, receipt_type``, seven fields, ``issues, overall_confidence, needs_review``) as rows of the
+    three tables, set at a time: transactions, fields that are there, issues.
+
+    Rows without an ``id`` get one above ``after_id``: unique and ascending by partition, with gaps, so that no task has to
+    number all rows.  Write ``results`` before they are split where their source is not repeatable.
+    """
+    if "id" not in results.columns:
+        results = results.withColumn("id", F.lit(after_id + 1) + F.monotonically_increasing_id())
+    review = F.col("needs_review").cast("int")
+    transactions = results.select(
+        F.col("id").cast("long").alias("id"), "filename", "receipt_type", as_of.alias("created_at"), as_of.alias("processed_at"),
+        "overall_confidence", review.alias("needs_review"), status(review).alias("status"),
+    )
+    return transactions, to_fields(results), to_issues(results)
+
+
+def update_events(updates: DataFrame) -> DataFrame:
+    """Events of updates of several fields ``(seq, txn_pk, at, data map<string,string>)``: an edit for each of the seven
+    fields that is there, in their fixed order, and a review; ``seq`` leaves room for them (times 16)."""
+    edits = F.transform(F.array(*map(F.lit, FIELDS)), lambda f, k: F.when(F.map_contains_key("data", f), F.struct(k.cast("long").alias("place"), F.lit("edit").alias("kind"), f.alias("field_name"), F.col("data")[f].alias("new_value"))))
+    review = F.struct(F.lit(15).cast("long").alias("place"), F.lit("review").alias("kind"), F.lit(None).cast("string").alias("field_name"), F.lit(None).cast("string").alias("new_value"))
+    rows = updates.select("seq", "txn_pk", "at", F.explode(F.array_append(F.array_compact(edits), review)).alias("e"))
+    return rows.select((F.col("seq") * 16 + F.col("e.place")).alias("seq"), "e.kind", "txn_pk", "e.field_name", "e.new_value", "at")
+
+
+def edited_entities(fields: DataFrame, events: DataFrame) -> DataFrame:
+    """What edits add to the entities, to be merged by :func:`tallyforge.operators.stats.merge_entities`: each edit of an
+    account or name counts once and verifies its new value.  A name is linked with the account of its receipt as of the
+    edit: the last edit of a stored account before it, or the stored one."""
+    edits = events.where((F.col("kind") == "edit") & F.col("field_name").isin("from_account", "to_account", "receiver_name"))
+    names = edits.where("field_name = 'receiver_name'").select("txn_pk").distinct()
+    stored = fields.where("field_name = 'to_account'").join(names, fields["transaction_id"] == names["txn_pk"], "left_semi")
+    stored = stored.groupBy(F.col("transaction_id").alias("txn_pk")).agg(query.last_field(stored)["value"].alias("account"))
+    rows = edits.join(stored, "txn_pk", "left")
+    before = F.expr("last(case when field_name = 'to_account' then new_value end, true) over (partition by txn_pk order by seq rows between unbounded preceding and 1 preceding)")
+    rows = rows.withColumn("_linked", F.when((F.col("field_name") == "receiver_name") & F.col("account").isNotNull(), F.coalesce(before, "account")))
+    return rows.groupBy(F.col("field_name").alias("entity_type"), F.col("new_value").alias("value")).agg(
+        F.max_by("_linked", F.when(F.col("_linked").isNotNull(), F.col("seq"))).alias("display_name"), F.count("*").alias("frequency"), F.max("at").alias("last_seen"), F.lit(1).alias("verified")
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.cleaning import parsed_amount, parsed_datetime
+from tallyforge.operators.query import last_field
 from tallyforge.schemas import FIELDS, WEIGHTS
 
 
@@ -20,8 +21,7 @@ def percent(c: Column) -> Column:
 
 def wide(fields: DataFrame, key: str = "txn_pk") -> DataFrame:
     """One row per receipt, a struct (value, confidence) per field; the last of repeated fields."""
-    item = F.struct(F.col("field_value").alias("value"), F.col("ocr_confidence").alias("confidence"))
-    return fields.groupBy(key).pivot("field_name", list(FIELDS)).agg(F.last(item))
+    return fields.groupBy(key).pivot("field_name", list(FIELDS)).agg(last_field(fields))
 
 
 def value_of(field: str) -> Column:
@@ -80,6 +80,14 @@ def validate(rows: DataFrame, as_of: Column, flagged: Column | None = None) -> D
     return rows.withColumn("needs_review", errors if flagged is None else errors | flagged)
 
 
+def failed(images: DataFrame) -> DataFrame:
+    """Results of images that could not be processed (``image_id, error``), beside those of :func:`validate`: no fields, the
+    type unknown, no confidence, for review, and the error as their issue."""
+    none = [F.lit(None).cast("struct<value:string,confidence:double>").alias(f) for f in FIELDS]
+    rest = (F.lit(0.0).alias("overall_confidence"), F.lit(True).alias("needs_review"), error_row(F.col("error")).alias("issues"))
+    return images.where("error is not null").select(F.col("image_id").alias("filename"), F.lit("unknown").alias("receipt_type"), *none, *rest)
+
+
 def error_row(message: Column) -> Column:
     """The issues of an image that could not be processed."""
     return F.array(F.struct(F.lit("processing").alias("field"), F.lit("error").alias("severity"), message.alias("message")))

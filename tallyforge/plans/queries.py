@@ -232,3 +232,73 @@ SELECT image_id, i AS slice_idx, greatest(0, i * (h // 8) - ((h // 8) // 10))::I
 def slice_plan(spark, sf_dir):
     images = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as image_id", "cast(100 + p_size * 20 as int) as height")
     return extract.slice_plan(images).select("image_id", "slice_idx", "top", "bottom")
+
+
+def with_later_rows(fields: DataFrame) -> DataFrame:
+    """The fields stored once more for some receipts, with lower values and confidences: ``field_id`` tells which is later."""
+    first = fields.withColumn("field_id", F.col("transaction_id"))
+    again = fields.where("transaction_id % 4 = 0 and field_name in ('amount', 'comment')").withColumns({"field_value": F.concat(F.lit(" "), "field_value"), "ocr_confidence": F.col("ocr_confidence") / 2.0, "field_id": F.col("transaction_id") + 1_000_000_000})
+    return first.unionByName(again)
+
+
+LATER = """lf AS (SELECT * FROM tf WHERE NOT (transaction_id % 4 = 0 AND field_name IN ('amount', 'comment')) UNION ALL
+ SELECT transaction_id, field_name, ' ' || field_value, ocr_confidence / 2.0 FROM tf WHERE transaction_id % 4 = 0 AND field_name IN ('amount', 'comment'))"""
+
+
+@register(f"""{CTE}, {LATER} SELECT id, max(CASE WHEN field_name = 'amount' THEN field_value END) AS amount, max(CASE WHEN field_name = 'comment' THEN field_value END) AS comment,
+ max(CASE WHEN field_name = 'amount' THEN ocr_confidence END) AS amount_confidence, max(CASE WHEN field_name = 'datetime' THEN ocr_confidence END) AS datetime_confidence
+ FROM tx LEFT JOIN lf ON transaction_id = id GROUP BY id""")
+def last_row_wins(spark, sf_dir):
+    tx, tf = both(spark, sf_dir)
+    docs = query.hydrate(tx, with_later_rows(tf)).select("id", "fields")
+    flat = query.flat(with_later_rows(tf)).select("txn_pk", "amount", "comment")
+    out = docs.join(flat, docs["id"] == flat["txn_pk"], "left")
+    value = lambda f: F.col("fields")[f]["confidence"].alias(f"{f}_confidence")
+    return out.select("id", "amount", "comment", value("amount"), value("datetime"))
+
+
+UPDATES = "SELECT o_orderkey AS k, o_orderkey * 3 AS seq, o_orderkey AS txn_pk, o_orderdate AS at FROM orders WHERE o_orderkey % 3 = 0"
+
+
+def updates(spark, sf_dir):
+    rows = spark.sql(UPDATES.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    data = F.create_map(F.lit("comment"), F.concat(F.lit("c"), F.col("k").cast("string")), F.lit("bogus"), F.lit("x"), F.lit("to_account"), F.concat(F.lit("A"), (F.col("k") % 7).cast("string")), F.lit("receiver_name"), F.concat(F.lit("N"), (F.col("k") % 11).cast("string")))
+    return store.update_events(rows.select("seq", "txn_pk", "at", data.alias("data")))
+
+
+@register(f"""{CTE}, u AS ({UPDATES}) SELECT id, CASE WHEN u.k IS NULL THEN status ELSE 'reviewed' END AS status,
+ max(CASE WHEN field_name = 'comment' THEN CASE WHEN u.k IS NULL THEN field_value ELSE 'c' || u.k END END) AS comment,
+ max(CASE WHEN field_name = 'to_account' THEN CASE WHEN u.k IS NULL THEN field_value ELSE 'A' || (u.k % 7) END END) AS to_account,
+ coalesce(sum(CASE WHEN u.k IS NOT NULL AND field_name IN ('comment', 'to_account', 'receiver_name') THEN 1 ELSE 0 END), 0)::BIGINT AS edited
+ FROM tx LEFT JOIN tf ON transaction_id = id LEFT JOIN u ON u.k = id GROUP BY id, u.k, status""")
+def multi_field_edit(spark, sf_dir):
+    tx, tf = both(spark, sf_dir)
+    events = updates(spark, sf_dir)
+    now_tx, now_tf = store.current_transactions(tx, events), store.current_fields(tf, events)
+    marks = now_tf.groupBy("transaction_id").agg(F.sum("manually_edited").alias("edited"))
+    rows = now_tx.select("id", "status").join(query.flat(now_tf).select("txn_pk", "comment", "to_account"), F.col("id") == F.col("txn_pk"), "left")
+    rows = rows.join(marks, rows["id"] == marks["transaction_id"], "left")
+    return rows.select("id", "status", "comment", "to_account", F.coalesce("edited", F.lit(0)).cast("long").alias("edited"))
+
+
+@register(f"""{ENTITIES}, u AS ({UPDATES}), s AS (SELECT transaction_id AS t FROM tf WHERE field_name = 'to_account'), ed AS (
+ SELECT 'to_account' AS entity_type, 'A' || (k % 7) AS value, NULL AS display_name, seq, u."at" AS moment FROM u
+ UNION ALL SELECT 'receiver_name', 'N' || (k % 11), CASE WHEN s.t IS NOT NULL THEN 'A' || (k % 7) END, seq, u."at" FROM u LEFT JOIN s ON s.t = u.txn_pk)
+SELECT entity_type, value, display_name, frequency, last_seen, verified FROM ent
+UNION ALL SELECT entity_type, value, arg_max(display_name, seq), count(*)::BIGINT, max(moment), 1 FROM ed GROUP BY 1, 2""")
+def entities_after_edits(spark, sf_dir):
+    tx, tf = both(spark, sf_dir)
+    return stats.merge_entities(stats.entities(tx, tf), store.edited_entities(tf, updates(spark, sf_dir)))
+
+
+@register(f"""{CTE}, p AS (SELECT transaction_id AS t, {RECENT_PIVOT} FROM tf GROUP BY t), e AS (
+ SELECT t, (amount IS NULL OR TRY_CAST(replace(amount, ',', '') AS DOUBLE) IS NULL)::INTEGER + (to_account IS NULL)::INTEGER AS errors,
+  (amount IS NOT NULL AND amount_confidence < 0.90)::INTEGER + coalesce((from_account = to_account)::INTEGER, 0) + (date_trunc('day', created_at) > TIMESTAMP '{AS_OF}')::INTEGER AS warnings FROM p JOIN tx ON id = t)
+SELECT t AS id, CASE WHEN errors > 0 THEN 'pending' ELSE 'verified' END AS status, (SELECT count(*) FROM tf WHERE transaction_id = t)::BIGINT AS n_fields, (errors + warnings)::BIGINT AS n_issues FROM e""")
+def receipt_ingest(spark, sf_dir):
+    rows = validate.validate(wide_rows(spark, sf_dir), now()).withColumnRenamed("txn_pk", "id")
+    rows = rows.withColumns({"filename": F.concat(F.lit("img_"), F.col("id").cast("string")), "receipt_type": F.lit("white")})
+    tx, tf, issues = store.ingest(rows, now())
+    n = lambda x, name: x.groupBy(F.col("transaction_id").alias("_id")).agg(F.count("*").alias(name))
+    out = tx.join(n(tf, "n_fields"), F.col("id") == F.col("_id"), "left").drop("_id").join(n(issues, "n_issues"), F.col("id") == F.col("_id"), "left")
+    return out.select("id", "status", F.coalesce("n_fields", F.lit(0)).alias("n_fields"), F.coalesce("n_issues", F.lit(0)).alias("n_issues"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +15,15 @@ PATTERN = "*.{png,jpg,jpeg,PNG,JPG,JPEG}"
 MAX_BATCH = 50
 
 
-def images(spark: SparkSession, *paths: str) -> DataFrame:
-    """Images of folders (not of those below) or files by path; what cannot be decoded stays, with height -1."""
-    rows = spark.read.format("image").option("pathGlobFilter", PATTERN).option("dropInvalid", False).load(list(paths))
+def images(spark: SparkSession, *paths: str, pattern: str = PATTERN) -> DataFrame:
+    """Images of folders (not of those below) or files by path, in its order; what cannot be decoded stays, with height -1.
+
+    A path that is not there is a ``ValueError``; a folder without images gives no rows.
+    """
+    try:
+        rows = spark.read.format("image").option("pathGlobFilter", pattern).option("dropInvalid", False).load(list(paths)).orderBy("image.origin")
+    except AnalysisException as e:
+        raise ValueError(f"No such folder: {e}") from e
     return rows.select(F.col("image.origin").alias("image_id"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
 
 

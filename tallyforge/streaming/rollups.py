@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyforge.operators.stats import daily, merge_daily
+from tallyforge.operators.stats import daily, entities, merge_daily, merge_entities
 
 
 def fold(folder: str, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
@@ -25,3 +25,14 @@ def fold(folder: str, partial: Callable[[DataFrame], DataFrame], merge: Callable
 def daily_stream(transactions: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Starts the daily rollup over a stream of transactions; ``folder/<last batch>`` is the state."""
     return transactions.writeStream.foreachBatch(fold(folder, daily, merge_daily)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def entity_stream(receipts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Starts the entity frequencies over a stream of receipts ``(id, created_at, fields array<struct<field_name,
+    field_value>>)``, each with all its fields; ``folder/<last batch>`` is the state."""
+
+    def partial(batch: DataFrame) -> DataFrame:
+        fields = batch.selectExpr("id as transaction_id", "inline(fields)")
+        return entities(batch.select("id", "created_at"), fields)
+
+    return receipts.writeStream.foreachBatch(fold(folder, partial, merge_entities)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

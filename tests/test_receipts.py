@@ -121,6 +121,47 @@ def test_images(spark):
         scan.uploads(spark.range(51).selectExpr("'image/png' as content_type"))
 
 
+def test_falsy_values(spark):
+    body = spark.createDataFrame([('{"amount": "0", "comment": 0, "from_account": 0.0, "to_account": {}, "receiver_name": false, "datetime": {"value": "x"}, "transaction_id": null}',)], "body string")
+    row = store.confirmed(body).first()
+    assert (row.amount.value, row.datetime.value) == ("0", "x") and row.comment is row.from_account is row.to_account is row.receiver_name is row.transaction_id is None
+
+
+def test_links_as_of_the_edit(spark):
+    fields = spark.createDataFrame([(1, "to_account", "old", 0.9), (2, "to_account", "two", 0.9)], "transaction_id long, field_name string, field_value string, ocr_confidence double")
+    rows = [(1, 1, "receiver_name", "before"), (2, 1, "to_account", "new"), (3, 1, "receiver_name", "after"), (4, 2, "receiver_name", "after"), (5, 3, "to_account", "gone"), (6, 3, "receiver_name", "alone")]
+    events = spark.createDataFrame([(s, "edit", t, f, v, datetime.datetime(2024, 1, s)) for s, t, f, v in rows], "seq long, kind string, txn_pk long, field_name string, new_value string, at timestamp_ntz")
+    got = {(r.entity_type, r.value): (r.display_name, r.frequency, r.verified) for r in store.edited_entities(fields, events).collect()}
+    assert got["receiver_name", "before"] == ("old", 1, 1) and got["receiver_name", "after"] == ("two", 2, 1) and got["receiver_name", "alone"] == (None, 1, 1) and got["to_account", "new"] == (None, 1, 1)
+
+
+def test_scan_failures(spark, tmp_path):
+    with pytest.raises(ValueError):
+        scan.images(spark, str(tmp_path / "none"))
+    bad = spark.createDataFrame([("b", "cannot decode"), ("a", None)], "image_id string, error string")
+    tx, tf, issues = store.ingest(validate.failed(bad), F.lit("2024-01-01").cast("timestamp_ntz"), 7)
+    assert tx.first().status == "pending" and tx.first().id > 7 and tf.count() == 0 and issues.first().message == "cannot decode"
+    total, rows = query.listing(bad)
+    assert total.first().total == rows.count() == 2
+
+
+def test_streams(spark, tmp_path):
+    from tallyforge.streaming import rollups
+
+    kind = "id long, created_at timestamp_ntz, overall_confidence double, needs_review int, fields array<struct<field_name:string,field_value:string>>"
+    day = datetime.datetime(2024, 5, 1)
+    rows = [(k, day + datetime.timedelta(hours=9 * k), 0.5 + k / 10, k % 2, [("to_account", f"t{k % 2}"), ("receiver_name", "n")]) for k in range(5)]
+    for part in (rows[:3], rows[3:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rollups.daily_stream(stream().drop("fields"), str(tmp_path / "d"), str(tmp_path / "dc")).awaitTermination(60)
+    rollups.entity_stream(stream().drop("overall_confidence", "needs_review"), str(tmp_path / "e"), str(tmp_path / "ec")).awaitTermination(60)
+    whole = spark.createDataFrame(rows, kind)
+    tidy = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.select(*sorted(df.columns)).collect())
+    assert tidy(spark.read.parquet(str(tmp_path / "d" / "1"))) == tidy(stats.daily(whole))
+    assert tidy(spark.read.parquet(str(tmp_path / "e" / "1"))) == tidy(stats.entities(whole, whole.selectExpr("id as transaction_id", "inline(fields)")))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     connection = duckdb.connect()
