@@ -55,6 +55,22 @@ def bounds(size: int, dice: float) -> tuple[int, int]:
     return fits[0], fits[-1]
 
 
+def anchors(dice: float = DICE) -> list[str]:
+    """Words of which every unit that reaches ``dice`` against some template holds one.
+
+    Such a unit lacks at most (size - lower bound) of the template's bigrams, so it holds one of any set of one more:
+    words are taken, the longest first, until their bigrams are as many.
+    """
+    out: set[str] = set()
+    for _, own in template_bigrams():
+        needed = len(own) - bounds(len(own), dice)[0] + 1
+        for word in sorted({w for b in own for w in b.split()}, key=lambda w: (-len(w), w)):
+            if sum(bool(out & set(b.split())) for b in own) >= needed:
+                break
+            out.add(word)
+    return sorted(out)
+
+
 def words_of(unit: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", " ")), " ")
 
@@ -87,7 +103,8 @@ def licences(docs: DataFrame, dice: float = DICE) -> DataFrame:
     Null and empty texts match nothing.  Columns besides doc_id and text are not read.  Each row is by itself, so
     repeated rows have equal results.
     """
-    text = F.coalesce("text", F.lit(""))
+    # texts without any of these words match nothing; they stay as empty ones
+    text = F.when(F.rlike(F.lower("text"), F.lit("|".join(anchors(dice)))), F.col("text")).otherwise("")
     own = [b for _, b in template_bigrams()]
     least = [bounds(len(b), dice)[0] for b in own]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), words_of(text).alias("words"))
