@@ -6,7 +6,8 @@ coefficient, so sizes outside [t / (2 - t), (2 - t) / t] of the template's are s
 The templates are few and fixed and stand in the plan as literals; documents are mapped once, without a shuffle.
 
 A unit that reaches the threshold against a template holds at least the lower size bound of the template's distinct
-bigrams, and so does the text around it: texts that hold fewer of every template are done after one look.  In the others
+bigrams, and so does the text around it: texts that lack the words such a unit needs, or hold fewer bigrams of every
+template, are done after one look.  In the others
 a best window begins and ends with a bigram of the template, so each such bigram is tried as the beginning and one pass
 to the right counts distinct bigrams (those whose last occurrence lies before the beginning) and keeps the best end.  Of
 windows that overlap the one with the highest coefficient stays.  It counts as a unit unless it lies within a line that
@@ -16,6 +17,7 @@ matches by itself, or has the name that the whole text matches.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,20 +57,39 @@ def bounds(size: int, dice: float) -> tuple[int, int]:
     return fits[0], fits[-1]
 
 
-def anchors(dice: float = DICE) -> list[str]:
-    """Words of which every unit that reaches ``dice`` against some template holds one.
+def needed_words(own: list[str], dice: float = DICE) -> tuple[list[str], list[str], int]:
+    """What every unit that reaches ``dice`` against the template with bigrams ``own`` holds: the words that must be
+    there, the template's words, and how many of them at least.
 
-    Such a unit lacks at most (size - lower bound) of the template's bigrams, so it holds one of any set of one more:
-    words are taken, the longest first, until their bigrams are as many.
+    Such a unit lacks at most (size - lower bound) of the bigrams, so it holds each word that lies in more of them; and
+    with a bigram go both of its words, so its words' numbers of bigrams come to twice the lower bound or more.
     """
-    out: set[str] = set()
-    for _, own in template_bigrams():
-        needed = len(own) - bounds(len(own), dice)[0] + 1
-        for word in sorted({w for b in own for w in b.split()}, key=lambda w: (-len(w), w)):
-            if sum(bool(out & set(b.split())) for b in own) >= needed:
-                break
-            out.add(word)
-    return sorted(out)
+    low = bounds(len(own), dice)[0]
+    ends = Counter(w for b in own for w in b.split())
+    touched = Counter(w for b in own for w in set(b.split()))
+    total, least = 0, 0
+    for _, n in ends.most_common():
+        if total >= 2 * low:
+            break
+        total, least = total + n, least + 1
+    return sorted(w for w, n in touched.items() if n > len(own) - low), sorted(ends), least
+
+
+def may_match(lowered: Column, dice: float = DICE) -> Column:
+    """For texts in lower case, whether they hold the words that some template needs: only then can a part of one match.
+
+    One array of words and its overlap with the templates' words: a regular expression of alternatives takes many times as
+    long, and a filter of nested conditions grows when the planner rewrites it.
+    """
+    needs = [needed_words(own, dice) for _, own in template_bigrams()]
+    literal = lambda words: F.array(*map(F.lit, sorted(words))).cast("array<string>")
+    seen = F.array_intersect(F.split(lowered, "[^a-z0-9]+"), literal({w for _, every, _ in needs for w in every}))
+
+    def fits(words: Column) -> Column:
+        tests = [(F.size(F.array_intersect(words, literal(every))) >= least) & (F.size(F.array_intersect(words, literal(must))) == len(must)) for must, every, least in needs]
+        return F.array_contains(F.array(*tests), True)
+
+    return F.get(F.transform(F.array(seen), fits), F.lit(0))
 
 
 def words_of(unit: Column) -> Column:
@@ -81,10 +102,6 @@ def pairs_of(words: Column) -> Column:
     return F.when(F.size(words) > 1, joined).otherwise(F.array().cast("array<string>"))
 
 
-def bigrams(unit: Column) -> Column:
-    return F.array_distinct(pairs_of(words_of(unit)))
-
-
 def hits(unit_bigrams: Column, dice: float = DICE) -> Column:
     """The best template of a unit as (dice, name), null where none reaches the threshold; ties: the last name."""
     n = F.size(unit_bigrams)
@@ -97,17 +114,23 @@ def hits(unit_bigrams: Column, dice: float = DICE) -> Column:
     return F.array_max(F.array(*found))
 
 
+def unit_hits(units: Column, dice: float = DICE) -> Column:
+    """:func:`hits` of each unit of an array; one lambda a step, for what a lambda names twice is worked out twice."""
+    grams = F.transform(F.transform(units, words_of), lambda w: F.array_distinct(pairs_of(w)))
+    return F.transform(grams, lambda g: hits(g, dice))
+
+
 def licences(docs: DataFrame, dice: float = DICE) -> DataFrame:
     """Per row: doc_id, n_units that matched, licences (distinct names in order, comma-joined) and best_dice (0 if none).
 
     Null and empty texts match nothing.  Columns besides doc_id and text are not read.  Each row is by itself, so
     repeated rows have equal results.
     """
-    # texts without any of these words match nothing; they stay as empty ones
-    text = F.when(F.rlike(F.lower("text"), F.lit("|".join(anchors(dice)))), F.col("text")).otherwise("")
+    # texts without the words that matches need stay as empty ones
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(may_match(F.lower("text"), dice), F.col("text")).otherwise("").alias("text"))
     own = [b for _, b in template_bigrams()]
     least = [bounds(len(b), dice)[0] for b in own]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), words_of(text).alias("words"))
+    rows = docs.select("doc_id", "text", words_of(F.col("text")).alias("words"))
     rows = rows.select("doc_id", "text", F.array_intersect(pairs_of(F.col("words")), F.array(*map(F.lit, sorted({g for b in own for g in b})))).alias("seen"))
     holds = [F.when(F.size(F.array_intersect("seen", F.array(*map(F.lit, b)))) >= low, F.lit(t)) for t, (b, low) in enumerate(zip(own, least, strict=True))]
     likely = F.when(F.size("seen") >= min(least), F.array_compact(F.array(*holds))).otherwise(F.array().cast("array<int>"))
@@ -116,8 +139,8 @@ def licences(docs: DataFrame, dice: float = DICE) -> DataFrame:
     rows = rows.select("doc_id", "text", "likely", F.when(F.size("likely") > 0, F.split("text", "\n")).alias("lines"))
     rows = rows.select(
         "doc_id", "likely",
-        F.transform("lines", lambda x: hits(bigrams(x), dice)).alias("by_line"),
-        F.when(F.size("lines") > 1, hits(bigrams(F.col("text")), dice)).alias("whole"),
+        unit_hits(F.col("lines"), dice).alias("by_line"),
+        F.when(F.size("lines") > 1, F.get(unit_hits(F.array("text"), dice), F.lit(0))).alias("whole"),
         F.transform("lines", lambda x: F.array_remove(words_of(x), "")).alias("words"),
     )
     rows = windows(rows, dice)
