@@ -333,3 +333,21 @@ def test_toxic_copies():
     alone = model.scores([""])[0]
     assert model.scores([copied])[0] > 0.8 > alone
     assert np.mean(model.scores(plain[200:]) < toxicity.THRESHOLD) > 0.8
+
+
+def test_licence_needed_words():
+    """Every unit at the threshold holds the words that its template is said to need: slices and spoilt copies of each."""
+    rng = np.random.default_rng(5)
+    words_in = lambda text: "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+    met = 0
+    for (_, text), (_, own) in zip(licences.TEMPLATES, licences.template_bigrams(), strict=True):
+        must, every, least = licences.needed_words(own)
+        words = words_in(text)
+        for _ in range(400):
+            begin, end = sorted(rng.integers(0, len(words) + 1, 2)) if rng.random() < 0.5 else (0, len(words))
+            unit = [w for w in words[begin:end] if rng.random() > 0.04]
+            grams = {f"{a} {b}" for a, b in zip(unit, unit[1:], strict=False)}
+            if grams and 2 * len(grams & set(own)) / (len(grams) + len(own)) >= licences.DICE:
+                met += 1
+                assert set(must) <= set(unit) and len(set(unit) & set(every)) >= least
+    assert met > 500
