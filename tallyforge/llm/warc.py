@@ -41,14 +41,15 @@ def manifest(records: DataFrame) -> DataFrame:
     return hashed.withColumn("offset", offset)
 
 
-def nodes(leaves: DataFrame, level: int) -> DataFrame:
-    """``(archive, level, node, hash, records)`` of one level from the leaves' hashes: level 0 has the narrowest ranges."""
+def nodes(leaves: DataFrame) -> DataFrame:
+    """``(archive, node, hash, records)`` of the narrowest ranges, from the leaves' hashes."""
     at = F.floor(F.col("offset") / RANGES[0]).cast("long")
-    leaf = F.struct("offset", "length", "hash")
-    out = leaves.groupBy("archive", at.alias("node")).agg(_joined(leaf), F.count("*").alias("records"))
-    for low, high in zip(RANGES[:level], RANGES[1 : level + 1], strict=True):
-        out = out.groupBy("archive", F.floor(F.col("node") * low / high).cast("long").alias("node")).agg(_joined(F.struct("node", "hash")), F.sum("records").alias("records"))
-    return out
+    return leaves.groupBy("archive", at.alias("node")).agg(_joined(F.struct("offset", "length", "hash")), F.count("*").alias("records"))
+
+
+def parents(level: DataFrame, at: Column) -> DataFrame:
+    """The nodes above a level; ``at`` numbers the node that each of the level's goes to."""
+    return level.groupBy("archive", at.cast("long").alias("node")).agg(_joined(F.struct("node", "hash")), F.sum("records").alias("records"))
 
 
 def _joined(item: Column) -> Column:
@@ -57,10 +58,12 @@ def _joined(item: Column) -> Column:
 
 
 def trees(leaves: DataFrame) -> list[DataFrame]:
-    """The levels of all archives' trees, lowest first; the last is the roots (node 0)."""
-    levels = [nodes(leaves, k) for k in range(len(RANGES))]
-    top = levels[-1].groupBy("archive").agg(_joined(F.struct("node", "hash")), F.sum("records").alias("records"))
-    return [*levels, top.select("archive", F.lit(0).cast("long").alias("node"), "hash", "records")]
+    """The levels of all archives' trees, lowest first; the last is the roots (node 0).  Each level is written once and
+    the next one made from it."""
+    levels = [cut(nodes(leaves))]
+    for low, high in zip(RANGES, RANGES[1:], strict=False):
+        levels.append(cut(parents(levels[-1], F.floor(F.col("node") * low / high))))
+    return [*levels, cut(parents(levels[-1], F.lit(0)))]
 
 
 def audit(mine: DataFrame, theirs: DataFrame) -> DataFrame:
