@@ -77,9 +77,10 @@ class PieceMerger(Merger):
         """Begin and end of each word of joined texts (see :func:`tallyforge.llm.text.joined`), in order."""
         number = self.dense[points]
         together = self.touch.ravel()[number[:-1].astype(np.int64) * len(self.touch) + number[1:]]
-        together[starts[1:] - 2] = False  # before and behind separators
-        together[starts[1:-1] - 1] = False
-        begin = np.flatnonzero(np.append(True, ~together))
+        opens = np.append(True, ~together)
+        opens[starts[1:] - 1] = True  # separators, and what is behind them
+        opens[starts[1:-1]] = True
+        begin = np.flatnonzero(opens)
         end = np.append(begin[1:], len(points))
         separator = np.zeros(len(points), dtype=bool)
         separator[starts[1:] - 1] = True

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, embed, licences, lines, ngram_join, packing, pieces, pii, quality, toxicity, warc
+from tallyforge.llm import align, bpe, embed, licences, lines, ngram_join, packing, pieces, pii, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_embeddings, op3_quality, op4_fixity, op5_bpe, op6_licences, op7_ngram_join, op8_pii, op9_line_dedup, op10_toxicity, op11_sentencepiece, pipeline)
+    for f in (op1_packing, op2_embeddings, op3_quality, op4_fixity, op5_bpe, op6_licences, op7_ngram_join, op8_pii, op9_line_dedup, op10_toxicity, op11_sentencepiece, op12_alignment, pipeline)
 }
 
 ORACLES: dict[str, str] = {

@@ -23,6 +23,7 @@ def test_equals_the_library(library):
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice(ALPHABETS[k % 7]) for _ in range(rng.choice([1, 3, 10, 60, 700]))) for k in range(700)]
     own = pieces.codec(MODEL)
+    assert [x.tolist() for x in own.encode([""])] == [[], [0, 0]] and [x.tolist() for x in own.encode([])] == [[], [0]]
     ids, at = own.encode(texts)
     for k, wanted in enumerate(library.encode(texts)):
         found = ids[at[k] : at[k + 1]]
