@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import align, bpe, embed, licences, lines, ngram_join, packing, pieces, pii, quality, toxicity, warc
+from tallyforge.llm import align, bpe, embed, licences, lines, ngram_join, packing, pieces, pii, quality, toxicity, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.manifest(table(spark, sf_dir, "documents"), changed=trie.tampered_count())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_embeddings, op3_quality, op4_fixity, op5_bpe, op6_licences, op7_ngram_join, op8_pii, op9_line_dedup, op10_toxicity, op11_sentencepiece, op12_alignment, pipeline)
+    for f in (op1_packing, op2_embeddings, op3_quality, op4_fixity, op5_bpe, op6_licences, op7_ngram_join, op8_pii, op9_line_dedup, op10_toxicity, op11_sentencepiece, op12_alignment, op13_manifest, pipeline)
 }
 
 ORACLES: dict[str, str] = {
@@ -106,4 +110,5 @@ o AS (SELECT *, (sum(length) OVER (PARTITION BY archive ORDER BY page_id) - leng
 SELECT archive, "offset", length, page_id, 'changed' AS damage FROM o WHERE page_id % 101 = 7
 """,
     "op6_licences": licences.oracle(),
+    "op13_manifest": trie.oracle(),
 }
