@@ -1,43 +1,26 @@
-"""Crop, resize and type of receipt images: numpy on Arrow batches.  Images are BGR bytes as Spark reads them."""
+"""Crop, resize, type and bands of receipt images: numpy on Arrow batches.  Images are BGR bytes as Spark reads them.
+
+All are narrow maps: an image is cut and read where it was scanned, and only its tokens go on.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-HEIGHT = 800
-
-
-def fallback_box(height: int, width: int) -> tuple[int, int, int, int]:
-    return int(width * 0.03), int(height * 0.25), int(width * 0.94), int(height * 0.50)
-
+from tallyforge import schemas
+from tallyforge.sources.boxes import find_box, green
 
-def smooth(values: np.ndarray, size: int) -> np.ndarray:
-    return np.convolve(values, np.ones(size) / size, mode="same")
-
-
-def projection_box(gray: np.ndarray) -> tuple[int, int, int, int] | None:
-    """x, y, width, height of the bright block: rows well above the mean for a fifth to seven tenths of the height."""
-    height, width = gray.shape
-    rows = smooth(gray.mean(axis=1), max(5, height // 100))
-    bright = np.concatenate(([0], (rows > rows.mean() + 20).astype(np.int8), [0]))
-    starts, ends = np.flatnonzero(np.diff(bright) == 1), np.flatnonzero(np.diff(bright) == -1)
-    if not len(starts):
-        return None
-    k = int(np.argmax(ends - starts))
-    top, bottom = int(starts[k]), int(ends[k])
-    if not 0.2 * height <= bottom - top <= 0.7 * height:
-        return None
-    columns = gray[top:bottom].mean(axis=0)
-    lit = np.flatnonzero(columns > columns.mean() + 10)
-    if len(lit) < 0.3 * width:
-        return None
-    dy, dx = int(height * 0.02), int(width * 0.01)
-    x, y = max(0, int(lit[0]) - dx), max(0, top - dy)
-    return x, y, min(width, int(lit[-1]) + dx) - x, min(height, bottom + dy) - y
+HEIGHT = 800
+#: Green of a receipt's type (hue, saturation, value), and the share of pixels above which a receipt is green.
+TYPE_GREEN, GREEN_SHARE = (35, 40, 40), 0.30
+SCHEMA = "image_id string, receipt_type string, x int, y int, w int, h int, height int, width int, channels int, data binary, error string, found string, seconds double"
+BANDS = "image_id string, slice_idx int, field_name string, data binary, height int, width int, channels int"
+READ = "image_id string, receipt_type string, error string, seconds double, tokens array<struct<field_name:string,x:int,token_idx:int,text:string,confidence:double>>"
 
 
 def resize(image: np.ndarray, height: int) -> np.ndarray:
@@ -55,24 +38,37 @@ def resize(image: np.ndarray, height: int) -> np.ndarray:
     return np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
 
 
-def green_share(image: np.ndarray) -> float:
-    """Share of pixels with hue 70 to 170 degrees and saturation and value of at least 40 of 255."""
-    b, g, r = (image[..., k].astype(np.float64) for k in range(3))
-    high, low = np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
-    span = np.where(high > low, high - low, 1)
-    hue = np.where(high == g, 60 * (b - r) / span + 120, np.where(high == r, (60 * (g - b) / span) % 360, 60 * (r - g) / span + 240)) / 2
-    saturation = np.where(high > 0, 255 * (high - low) / np.maximum(high, 1), 0)
-    return float(((high > low) & (hue >= 35) & (hue <= 85) & (saturation >= 40) & (high >= 40)).mean())
-
-
 def receipt_type(image: np.ndarray) -> str:
     if image.ndim == 2 or image.shape[2] < 3:
         return "unknown"
-    return "green" if green_share(image) > 0.30 else "white"
+    return "green" if float(green(image, TYPE_GREEN).mean()) > GREEN_SHARE else "white"
+
+
+def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
+    if height <= 0 or width <= 0:
+        raise ValueError("Cannot decode image")
+    return np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
+
+
+def cropped(image: np.ndarray, target_height: int = HEIGHT) -> tuple[np.ndarray, str, tuple[int, int, int, int]]:
+    """The image within its box, resized unless ``target_height`` is 0; how the box was found, and the box."""
+    found, (x, y, w, h) = find_box(image)
+    crop = image[y : y + h, x : x + w]
+    return (resize(crop, target_height) if target_height else crop), found, (x, y, w, h)
+
+
+def band_rows(height: int) -> Iterator[tuple[int, str, int, int]]:
+    """Number, field, top and bottom of the seven bands that are read: eighths of the height and a tenth of one beyond on
+    either side."""
+    size = height / len(schemas.BANDS)
+    beyond = int(size * 0.1)
+    for k, field in enumerate(schemas.BANDS):
+        if field in schemas.FIELDS:
+            yield k, field, max(0, int(k * size) - beyond), min(height, int((k + 1) * size) + beyond)
 
 
 def preprocess(images: DataFrame, target_height: int = HEIGHT) -> DataFrame:
-    """Images cropped to their box (the bright block, else a fixed share) and resized, with receipt type.
+    """Images cropped to their box and resized, with receipt type, how the box was ``found`` and the ``seconds`` it took.
 
     What cannot be decoded keeps height -1 and has the type unknown and an ``error``; the job goes on.
     """
@@ -81,19 +77,57 @@ def preprocess(images: DataFrame, target_height: int = HEIGHT) -> DataFrame:
         for frame in frames:
             out = []
             for r in frame.itertuples():
+                start = time.perf_counter()
                 try:
-                    image = np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, r.channels)
-                    gray = image.astype(np.float64) @ np.array([0.114, 0.587, 0.299]) if r.channels >= 3 and r.channels == 3 else image[..., 0].astype(np.float64)
-                    x, y, w, h = projection_box(gray) or fallback_box(r.height, r.width)
-                    crop = image[y : y + h, x : x + w]
-                    crop = resize(crop, target_height) if target_height else crop
-                    kind = receipt_type(crop)
-                    out.append((r.image_id, kind, x, y, w, h, crop.shape[0], crop.shape[1], r.channels, crop.tobytes(), None))
+                    crop, found, box = cropped(pixels(r.data, r.height, r.width, r.channels), target_height)
+                    out.append((r.image_id, receipt_type(crop), *box, *crop.shape[:2], r.channels, crop.tobytes(), None, found, time.perf_counter() - start))
                 except Exception as e:  # noqa: BLE001  reported as a row
-                    out.append((r.image_id, "unknown", 0, 0, 0, 0, -1, -1, r.channels, None, str(e)))
+                    out.append((r.image_id, "unknown", 0, 0, 0, 0, -1, -1, r.channels, None, str(e) or type(e).__name__, None, time.perf_counter() - start))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return images.mapInPandas(task, SCHEMA)
+    return images.select("image_id", "height", "width", "channels", "data").mapInPandas(task, SCHEMA)
+
+
+def bands(images: DataFrame) -> DataFrame:
+    """The seven bands of preprocessed images as images of their own; images with an ``error`` have none."""
 
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in BANDS.split(", ")]
+        for frame in frames:
+            for r in frame.itertuples():
+                image = pixels(r.data, r.height, r.width, r.channels)
+                yield pd.DataFrame([(r.image_id, k, field, image[top:bottom].tobytes(), bottom - top, r.width, r.channels) for k, field, top, bottom in band_rows(r.height)], columns=names)
+
+    return images.where("error is null").select("image_id", "height", "width", "channels", "data").mapInPandas(task, BANDS)
+
+
+Reader = Callable[[bytes, int, int, int], list[tuple[str, float, list]]]
+
+
+def read_receipts(images: DataFrame, reader: Callable[[], Reader], target_height: int = HEIGHT, crop: bool = True) -> DataFrame:
+    """From images (``image_id, height, width, channels, data``) to one row each with all tokens of its bands: cropped,
+    typed, cut and read in one map, so that neither image nor band is moved.
+
+    ``reader`` makes a function (data, height, width, channels) -> [(text, confidence, box)], once per Python worker.  A
+    failure anywhere in an image is its ``error``; ``seconds`` is the time it took.
+    """
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = reader()
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                start, kind, tokens, error = time.perf_counter(), "unknown", [], None
+                try:
+                    image = pixels(r.data, r.height, r.width, r.channels)
+                    image = cropped(image, target_height)[0] if crop else image
+                    kind = receipt_type(image)
+                    for _, field, top, bottom in band_rows(image.shape[0]):
+                        found = read(image[top:bottom].tobytes(), bottom - top, image.shape[1], r.channels)
+                        tokens += [{"field_name": field, "x": int(box[0][0]), "token_idx": k, "text": text.strip(), "confidence": float(c)} for k, (text, c, box) in enumerate(found) if text.strip()]
+                except Exception as e:  # noqa: BLE001  reported as a row
+                    kind, tokens, error = "unknown", [], str(e) or type(e).__name__
+                out.append((r.image_id, kind, error, time.perf_counter() - start, tokens))
+            yield pd.DataFrame(out, columns=["image_id", "receipt_type", "error", "seconds", "tokens"])
 
-SCHEMA = "image_id string, receipt_type string, x int, y int, w int, h int, height int, width int, channels int, data binary, error string"
+    return images.select("image_id", "height", "width", "channels", "data").mapInPandas(task, READ)
