@@ -12,10 +12,11 @@ from tallyforge.schemas import FIELDS
 def last_field(fields: DataFrame) -> Column:
     """Aggregate: value and confidence of the last of repeated field rows, both of one row.
 
-    ``field_id`` numbers rows in the order in which they were stored; without it the greatest (value, confidence) is taken.
+    ``field_id`` numbers rows in the order in which they were stored; rows without one are before all others, and among them
+    the greatest (value, confidence) is the last.
     """
     item = F.struct(F.col("field_value").alias("value"), F.col("ocr_confidence").alias("confidence"))
-    return F.max_by(item, "field_id") if "field_id" in fields.columns else F.max(item)
+    return F.max_by(item, F.struct(F.coalesce("field_id", F.lit(-(2**63))), item)) if "field_id" in fields.columns else F.max(item)
 
 
 def flat(fields: DataFrame) -> DataFrame:

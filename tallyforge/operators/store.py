@@ -15,42 +15,56 @@ def status(needs_review: Column) -> Column:
 
 
 def to_fields(wide: DataFrame, key: str = "id") -> DataFrame:
-    """Field rows of wide results: only fields that are there."""
-    items = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("f")) for f in FIELDS))
-    rows = wide.select(F.col(key).alias("transaction_id"), F.explode(items).alias("x")).where("x.f is not null")
-    return rows.select("transaction_id", "x.field_name", F.col("x.f.value").alias("field_value"), F.col("x.f.confidence").alias("ocr_confidence"))
+    """Field rows of wide results: only fields that are there, numbered by receipt (``field_id`` is its key times 8 and the
+    field's place), so that the rows of a later receipt have greater numbers."""
+    raw = lambda f: F.col(f"{f}.raw_text") if "raw_text" in wide.schema[f].dataType.names else F.lit(None).cast("string")
+    items = (F.when(F.col(f).isNotNull(), F.struct(F.lit(k).cast("long").alias("place"), F.lit(f).alias("field_name"), F.col(f"{f}.value").alias("value"), raw(f).alias("raw"), F.col(f"{f}.confidence").alias("confidence"))) for k, f in enumerate(FIELDS))
+    rows = wide.select(F.col(key).cast("long").alias("transaction_id"), F.explode(F.array_compact(F.array(*items))).alias("x"))
+    return rows.select(
+        (F.col("transaction_id") * 8 + F.col("x.place")).alias("field_id"), "transaction_id", "x.field_name", F.col("x.value").alias("field_value"), F.col("x.raw").alias("raw_value"),
+        F.col("x.confidence").alias("ocr_confidence"), F.lit(0).alias("manually_edited"), F.lit(None).cast("timestamp_ntz").alias("edited_at"),
+    )
 
 
 def to_issues(wide: DataFrame, key: str = "id") -> DataFrame:
-    rows = wide.select(F.col(key).alias("transaction_id"), F.explode("issues").alias("i"))
-    return rows.select("transaction_id", F.col("i.field").alias("field_name"), "i.severity", "i.message", F.lit(0).alias("resolved"))
+    """Issue rows of wide results, numbered in their order (a receipt has at most 16)."""
+    rows = wide.select(F.col(key).cast("long").alias("transaction_id"), F.posexplode("issues").alias("place", "i"))
+    return rows.select((F.col("transaction_id") * 16 + F.col("place")).alias("issue_id"), "transaction_id", F.col("i.field").alias("field_name"), "i.severity", "i.message", F.lit(0).alias("resolved"))
 
 
 def confirmed(bodies: DataFrame, column: str = "body") -> DataFrame:
     """Receipts from JSON bodies whose fields are objects with a value or plain values.
 
     Values that are nothing (null, empty text, the number zero, false, empty objects and lists) are left out; the text "0" is
-    something.
+    something.  Objects give confidence and raw text too (1 and empty unless said), and an empty value if they have none.
     """
     get = lambda path: F.get_json_object(column, path)
     whole = F.try_parse_json(column)
     kind = lambda f: F.coalesce(F.schema_of_variant(F.try_variant_get(whole, f"$.{f}", "variant")), F.lit("VOID"))
     fields = []
     for f in FIELDS:
-        value = F.coalesce(get(f"$.{f}.value"), get(f"$.{f}"))
+        inner = F.startswith(kind(f), F.lit("OBJECT"))
+        value = F.when(inner, F.when(get(f"$.{f}.value").isNotNull() | F.contains(kind(f), F.lit("value: VOID")), get(f"$.{f}.value")).otherwise("")).otherwise(get(f"$.{f}"))
+        sure = F.when(inner, F.coalesce(get(f"$.{f}.confidence").try_cast("double"), F.lit(1.0))).otherwise(F.lit(1.0))
+        raw = F.when(inner, F.coalesce(get(f"$.{f}.raw_text"), F.lit(""))).otherwise(value)
         nothing = (get(f"$.{f}") == "") | F.when(kind(f) == "STRING", F.lit(False)).otherwise(get(f"$.{f}").isin("false", "{}", "[]") | (get(f"$.{f}").try_cast("double") == 0))
-        fields.append(F.when(value.isNotNull() & ~F.coalesce(nothing, F.lit(False)), F.struct(value.alias("value"), F.lit(1.0).alias("confidence"))).alias(f))
-    return bodies.select(F.coalesce(get("$.filename"), F.lit("manual_entry.jpg")).alias("filename"), F.lit("green").alias("receipt_type"), F.lit(1.0).alias("overall_confidence"), F.lit(0).alias("needs_review"), F.lit("verified").alias("status"), *fields)
+        there = get(f"$.{f}").isNotNull() & ~F.coalesce(nothing, F.lit(False))
+        fields.append(F.when(there, F.struct(value.alias("value"), sure.alias("confidence"), raw.alias("raw_text"), F.lit(False).alias("needs_review"))).alias(f))
+    none = F.array().cast("array<struct<field:string,severity:string,message:string>>")
+    return bodies.select(F.coalesce(get("$.filename"), F.lit("manual_entry.jpg")).alias("filename"), F.lit("green").alias("receipt_type"), F.lit(1.0).alias("overall_confidence"), F.lit(0).alias("needs_review"), F.lit("verified").alias("status"), none.alias("issues"), F.lit(0.0).alias("processing_time"), *fields)
 
 
 def current_fields(fields: DataFrame, events: DataFrame) -> DataFrame:
-    """Field rows after all edits; an edit of a field that was never extracted adds none."""
+    """Field rows after all edits; an edit of a field that was never extracted adds none.  Marks of earlier edits that
+    ``fields`` has stay where there is none in ``events``."""
     edits = events.where((F.col("kind") == "edit") & F.col("field_name").isin(*FIELDS))
-    last = edits.groupBy(F.col("txn_pk").alias("_t"), F.col("field_name").alias("_f")).agg(F.max_by("new_value", "seq").alias("_value"), F.max("at").alias("edited_at"))
+    last = edits.groupBy(F.col("txn_pk").alias("_t"), F.col("field_name").alias("_f")).agg(F.max_by("new_value", "seq").alias("_value"), F.max("at").alias("_at"))
     rows = fields.join(last, (fields["transaction_id"] == last["_t"]) & (fields["field_name"] == last["_f"]), "left")
     value = F.when(F.col("_t").isNotNull(), F.col("_value")).otherwise(F.col("field_value"))
-    edited = F.col("_t").isNotNull().cast("int")
-    return rows.withColumn("field_value", value).withColumn("manually_edited", edited).drop("_t", "_f", "_value")
+    before = lambda c, kind: F.col(c) if c in fields.columns else F.lit(None).cast(kind)
+    edited = F.when(F.col("_t").isNotNull(), 1).otherwise(F.coalesce(before("manually_edited", "int"), F.lit(0)))
+    rows = rows.withColumns({"field_value": value, "manually_edited": edited, "edited_at": F.coalesce("_at", before("edited_at", "timestamp_ntz"))})
+    return rows.drop("_t", "_f", "_value", "_at")
 
 
 def current_transactions(transactions: DataFrame, events: DataFrame) -> DataFrame:

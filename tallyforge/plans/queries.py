@@ -144,7 +144,8 @@ def batch_summary(spark, sf_dir):
 
 
 def wide_rows(spark, sf_dir):
-    return validate.wide(fields(spark, sf_dir).withColumnRenamed("transaction_id", "txn_pk"))
+    review = should_review(F.col("field_name"), F.col("field_value"), F.col("ocr_confidence"))
+    return validate.wide(fields(spark, sf_dir).withColumnRenamed("transaction_id", "txn_pk").withColumn("needs_review", review))
 
 
 @register(f"{CTE}, wt(f, weight) AS (VALUES {', '.join(f'({chr(39)}{f}{chr(39)}, {w}::DOUBLE)' for f, w in WEIGHTS.items())}) SELECT transaction_id AS txn_pk, round(sum(ocr_confidence * weight) / sum(weight), 6) AS confidence FROM tf JOIN wt ON f = field_name WHERE ocr_confidence > 0 GROUP BY 1")
@@ -153,16 +154,15 @@ def weighted_confidence(spark, sf_dir):
 
 
 @register(f"""{CTE}, p AS (SELECT transaction_id AS t, {RECENT_PIVOT} FROM tf GROUP BY t), i AS (
-SELECT t, 'amount' AS field, 'error' AS severity, 'Amount missing' AS message FROM p WHERE amount IS NULL
+SELECT t, 'amount' AS field, 'error' AS severity, 'Amount missing - CRITICAL' AS message FROM p WHERE amount IS NULL
 UNION ALL SELECT t, 'amount', 'error', 'Cannot parse amount: ''' || amount || '''' FROM p WHERE TRY_CAST(replace(amount, ',', '') AS DOUBLE) IS NULL AND amount IS NOT NULL
-UNION ALL SELECT t, 'amount', 'warning', 'Low confidence' FROM p WHERE amount IS NOT NULL AND amount_confidence < 0.90
-UNION ALL SELECT t, 'to_account', 'error', 'To account missing' FROM p WHERE to_account IS NULL
-UNION ALL SELECT t, 'accounts', 'warning', 'From and To accounts are identical' FROM p WHERE from_account = to_account
-UNION ALL SELECT id, 'datetime', 'warning', 'Date is in the future' FROM tx WHERE date_trunc('day', created_at) > TIMESTAMP '{AS_OF}')
+UNION ALL SELECT t, 'amount', 'warning', 'Low confidence on CRITICAL field: ' || printf('%.2f', amount_confidence * 100) || chr(37) FROM p WHERE amount IS NOT NULL AND amount_confidence < 0.90
+UNION ALL SELECT t, 'to_account', 'error', 'Destination account missing' FROM p WHERE to_account IS NULL
+UNION ALL SELECT t, 'accounts', 'warning', 'Source and destination accounts are identical' FROM p WHERE from_account = to_account
+UNION ALL SELECT id, 'datetime', 'warning', 'Date is in future: ' || strftime(created_at, '%d/%m/%Y') || ' 00:00:00' FROM tx WHERE date_trunc('day', created_at) > TIMESTAMP '{AS_OF}')
 SELECT t AS txn_pk, field, severity, message FROM i""")
 def validation_issues(spark, sf_dir):
-    rows = validate.validate(wide_rows(spark, sf_dir), now()).select("txn_pk", F.explode("issues").alias("i")).select("txn_pk", "i.*")
-    return rows.withColumn("message", F.when(F.startswith("message", F.lit("Low confidence")), "Low confidence").otherwise(F.col("message")))
+    return validate.validate(wide_rows(spark, sf_dir), now()).select("txn_pk", F.explode("issues").alias("i")).select("txn_pk", "i.*")
 
 
 LOW = " OR ".join(f"(field_name = '{f}' AND ocr_confidence < {c})" for f, c in (("transaction_id", 0.9), ("amount", 0.9), ("from_account", 0.85), ("to_account", 0.85), ("datetime", 0.7), ("receiver_name", 0.7), ("comment", 0.7)))
@@ -227,10 +227,10 @@ def delete_orphans(spark, sf_dir):
     return store.after_delete(tf, ev).join(left, tf["transaction_id"] == left["id"], "left_anti").groupBy("field_name").agg(F.count("*").alias("orphans"))
 
 
-@register("""WITH b AS (SELECT p_partkey AS image_id, (100 + p_size * 20)::INTEGER AS h FROM part), s AS (SELECT unnest([0, 1, 2, 3, 4, 6, 7]) AS i)
-SELECT image_id, i AS slice_idx, greatest(0, i * (h // 8) - ((h // 8) // 10))::INTEGER AS top, (CASE WHEN i = 7 THEN h ELSE least(h, (i + 1) * (h // 8) + ((h // 8) // 10)) END)::INTEGER AS bottom FROM b, s""")
+@register("""WITH b AS (SELECT p_partkey AS image_id, (100 + p_size * 20 + p_partkey % 8)::INTEGER AS h FROM part), s AS (SELECT unnest([0, 1, 2, 3, 4, 6, 7]) AS i)
+SELECT image_id, i AS slice_idx, greatest(0, floor(i * (h / 8::DOUBLE)) - floor(h / 8::DOUBLE * 0.1::DOUBLE))::INTEGER AS top, least(h, floor((i + 1) * (h / 8::DOUBLE)) + floor(h / 8::DOUBLE * 0.1::DOUBLE))::INTEGER AS bottom FROM b, s""")
 def slice_plan(spark, sf_dir):
-    images = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as image_id", "cast(100 + p_size * 20 as int) as height")
+    images = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as image_id", "cast(100 + p_size * 20 + p_partkey % 8 as int) as height")
     return extract.slice_plan(images).select("image_id", "slice_idx", "top", "bottom")
 
 
@@ -293,8 +293,9 @@ def entities_after_edits(spark, sf_dir):
 
 @register(f"""{CTE}, p AS (SELECT transaction_id AS t, {RECENT_PIVOT} FROM tf GROUP BY t), e AS (
  SELECT t, (amount IS NULL OR TRY_CAST(replace(amount, ',', '') AS DOUBLE) IS NULL)::INTEGER + (to_account IS NULL)::INTEGER AS errors,
+  EXISTS (SELECT 1 FROM tf WHERE transaction_id = t AND ({LOW} OR (field_name = 'amount' AND NOT regexp_matches(field_value, '[0-9]')))) AS flagged,
   (amount IS NOT NULL AND amount_confidence < 0.90)::INTEGER + coalesce((from_account = to_account)::INTEGER, 0) + (date_trunc('day', created_at) > TIMESTAMP '{AS_OF}')::INTEGER AS warnings FROM p JOIN tx ON id = t)
-SELECT t AS id, CASE WHEN errors > 0 THEN 'pending' ELSE 'verified' END AS status, (SELECT count(*) FROM tf WHERE transaction_id = t)::BIGINT AS n_fields, (errors + warnings)::BIGINT AS n_issues FROM e""")
+SELECT t AS id, CASE WHEN errors > 0 OR flagged THEN 'pending' ELSE 'verified' END AS status, (SELECT count(*) FROM tf WHERE transaction_id = t)::BIGINT AS n_fields, (errors + warnings)::BIGINT AS n_issues FROM e""")
 def receipt_ingest(spark, sf_dir):
     rows = validate.validate(wide_rows(spark, sf_dir), now()).withColumnRenamed("txn_pk", "id")
     rows = rows.withColumns({"filename": F.concat(F.lit("img_"), F.col("id").cast("string")), "receipt_type": F.lit("white")})

@@ -18,9 +18,12 @@ LABELS = {
 }
 REVIEW_BELOW = {"transaction_id": 0.90, "amount": 0.90, "from_account": 0.85, "to_account": 0.85, "datetime": 0.70, "receiver_name": 0.70, "comment": 0.70}
 
+#: A field of a result.
+FIELD = "struct<value:string,confidence:double,raw_text:string,needs_review:boolean>"
+
 TRANSACTIONS = "id long, filename string, receipt_type string, created_at timestamp_ntz, processed_at timestamp_ntz, overall_confidence double, needs_review int, status string"
 TRANSACTION_FIELDS = "field_id long, transaction_id long, field_name string, field_value string, raw_value string, ocr_confidence double, manually_edited int, edited_at timestamp_ntz"
-ISSUES = "transaction_id long, field_name string, severity string, message string, resolved int"
+ISSUES = "issue_id long, transaction_id long, field_name string, severity string, message string, resolved int"
 ENTITIES = "entity_type string, value string, display_name string, frequency long, last_seen timestamp_ntz, verified int"
 STATS = "date date, total_processed long, auto_verified long, manually_reviewed long, avg_processing_time double, avg_confidence double"
 TOKENS = "image_id string, slice_idx int, field_name string, token_idx int, text string, confidence double, bbox array<array<int>>"

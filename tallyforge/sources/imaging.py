@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tallyforge import schemas
-from tallyforge.sources.boxes import find_box, green
+from tallyforge.sources.boxes import fallback_box, find_box, green  # noqa: F401  (part of this interface)
 
 HEIGHT = 800
 #: Green of a receipt's type (hue, saturation, value), and the share of pixels above which a receipt is green.
