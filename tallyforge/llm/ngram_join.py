@@ -128,6 +128,21 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     null doc_id is never kept where another row of its class has an id, else it is.  Other columns are not read.
     Bands find a pair at 0.8 with probability 0.9998 and the tolerance drops it with about 0.0002; links found are exact.
     """
+    members = classed(docs, similarity, width, tolerance)
+    lowest = members.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("lowest")).select(shifted("group").alias("_key"), "lowest")
+    members = members.withColumn("_key", shifted("group")).join(lowest, "_key", "left")
+    own = F.coalesce("lowest", "doc_id")
+    return members.select(
+        "doc_id",
+        own.alias("class_id"),
+        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"),
+    )
+
+
+def classed(docs: DataFrame, similarity: float, width: int, tolerance: float) -> DataFrame:
+    """Per row its ``doc_id``, a hash ``row`` of id and text, and of its shingle set the ``copies``, the ``links`` to other
+    sets and the ``group`` (null where it has no words)."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,19 +219,24 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("node", "copies").join(links, "node", "left").join(final, "node", "left")
     named = cut(named.select("node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("group")))
-    members = table.select("doc_id", "node").join(named, "node", "left")
-    lowest = members.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("lowest")).select(shifted("group").alias("_key"), "lowest")
-    members = members.withColumn("_key", shifted("group")).join(lowest, "_key", "left")
-    own = F.coalesce("lowest", "doc_id")
-    return members.select(
-        "doc_id",
-        own.alias("class_id"),
-        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"),
-    )
+    return table.select("doc_id", "row", "node").join(named, "node", "left").select("doc_id", "row", "copies", "links", "group")
 
 
 def one_per_class(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class (that of the smallest doc_id); columns and repeated ids' order as given."""
-    keep = similar_documents(docs, similarity).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
+    """``docs`` with one row of each class: that of the smallest doc_id (null ids come last), of equal ones any.
+
+    Classes are of rows, not ids: rows that share an id, or have none, stay or go by their own texts, and of rows with equal
+    id and text one stays.  Rows without words all stay.  Columns are those of ``docs``.
+    """
+    members = classed(docs, similarity, WIDTH, TOLERANCE).where("group is not null")
+    first = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).select(shifted("group").alias("_key"), "first")
+    chosen = (F.col("row") == F.col("first.row")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    judged = members.withColumn("_key", shifted("group")).join(first, "_key").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.max(chosen).alias("chosen"), F.count("*").alias("n"))
+    judged = cut(judged.where("not chosen or n > 1"))
+    keyed = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    same = (F.col("_own") == F.col("_row")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    kept = keyed.join(judged.select("_id", "_row"), same, "left_anti")
+    again = judged.where("chosen").select("_id", "_row")
+    if again.limit(1).count():  # whole rows that repeat: one of each comes back
+        kept = kept.unionByName(keyed.join(again, same, "left_semi").dropDuplicates(["_own", "doc_id"]))
+    return kept.select(*docs.columns)

@@ -107,6 +107,17 @@ def test_ngram_join(spark, odd, docs):
     assert ngram_join.similar_documents(odd.limit(0)).count() == 0
 
 
+def test_one_row_per_class(spark):
+    """Rows without an id, with a shared one and whole rows that repeat stay or go by their own texts."""
+    long, other, third = (" ".join(f"{w}{k}" for k in range(40)) for w in "abc")
+    rows = [(5, long), (None, long), (None, other), (7, other), (7, long), (8, third), (8, third), (None, "alone without an id at all"), (None, None), (9, ""), (9, ""), (10, long + " more")]
+    frame = spark.createDataFrame([(*r, k, 1, 2) for k, r in enumerate(rows)], "doc_id long, text string, place long, row long, node int")
+    kept = ngram_join.one_per_class(frame)
+    assert kept.columns == frame.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(d), str(t)) for d, t in [(5, long), (7, other), (8, third), (None, "alone without an id at all"), (None, None), (9, ""), (9, "")])
+    assert ngram_join.one_per_class(frame.limit(0)).count() == 0
+
+
 def test_pruning_keeps_true_pairs():
     least = ngram_join.least_matches(0.8, 1e-5)
     assert list(least) == [16, 32, 48, 64] and least[64] > least[16] and least[64] < 64 * 0.8
