@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.cleaning import correct_datetime, correct_number, should_review
-from tallyforge.operators import extract, query, stats, store, validate
+from tallyforge.operators import extract, profile, query, stats, store, validate
 from tallyforge.plans.receipts_view import CTE, fields, transactions
 from tallyforge.schemas import FIELDS, WEIGHTS
 from tallyforge.sources import sinks
@@ -234,6 +234,38 @@ def slice_plan(spark, sf_dir):
     return extract.slice_plan(images).select("image_id", "slice_idx", "top", "bottom")
 
 
+#: A small image per supplier: dark, with a bright block whose place and size follow the key (some too low, some narrow), and
+#: noise; heights differ enough for kernels of 5 to 7 rows.
+PIXELS = """SELECT k AS image_id, y, x, CAST(30 + (x * 7 + y * 13 + k * 31) % 23 + CASE WHEN y >= h * (10 + k % 17) / 100 AND y < h * (10 + k % 17 + 12 + k % 43) / 100
+ AND x >= 2 + k % 5 AND x < 2 + k % 5 + 6 + k % 29 THEN 150 ELSE 0 END AS INTEGER) AS grey FROM"""
+
+
+@register(f"""WITH s AS (SELECT s_suppkey AS k, CAST(20 + s_suppkey * 37 % 700 AS DOUBLE) AS h FROM supplier),
+px AS ({PIXELS} (SELECT k, h, y, unnest(range(40)) AS x FROM (SELECT k, h, unnest(range(h::BIGINT)) AS y FROM s))),
+r0 AS (SELECT image_id, y, avg(grey) AS level, count(*) AS width FROM px GROUP BY ALL),
+r1 AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS height FROM r0),
+r2 AS (SELECT *, greatest(5, height // 100) AS size FROM r1),
+r3 AS (SELECT a.image_id, a.y, a.height, a.width, a.size, sum(b.level) / a.size AS smooth FROM r2 a JOIN r2 b ON a.image_id = b.image_id AND b.y BETWEEN a.y - a.size // 2 AND a.y + (a.size - 1) // 2 GROUP BY a.image_id, a.y, a.height, a.width, a.size),
+r4 AS (SELECT * FROM (SELECT *, avg(smooth) OVER (PARTITION BY image_id) AS mean FROM r3) WHERE smooth > mean + 20),
+r5 AS (SELECT *, sum(CASE WHEN y = last + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY image_id ORDER BY y) AS run FROM (SELECT *, lag(y) OVER (PARTITION BY image_id ORDER BY y) AS last FROM r4)),
+r6 AS (SELECT image_id, run, min(y) AS top, max(y) + 1 AS bottom, any_value(height) AS height, any_value(width) AS width, any_value(size) AS size FROM r5 GROUP BY ALL),
+r7 AS (SELECT * FROM r6 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY bottom - top DESC, top) = 1),
+r8 AS (SELECT * FROM r7 WHERE bottom - top >= height * 0.2::DOUBLE AND bottom - top <= height * 0.7::DOUBLE),
+c1 AS (SELECT px.image_id, x, avg(grey) AS level, any_value(r8.top) AS top, any_value(bottom) AS bottom, any_value(height) AS height, any_value(width) AS width, any_value(size) AS size FROM px JOIN r8 ON px.image_id = r8.image_id AND y >= r8.top AND y < bottom GROUP BY ALL),
+c2 AS (SELECT a.image_id, a.x, a.top, a.bottom, a.height, a.width, a.size, sum(b.level) / a.size AS smooth FROM c1 a JOIN c1 b ON a.image_id = b.image_id AND b.x BETWEEN a.x - a.size // 2 AND a.x + (a.size - 1) // 2 GROUP BY a.image_id, a.x, a.top, a.bottom, a.height, a.width, a.size),
+c3 AS (SELECT image_id, min(x) AS l, max(x) AS r, count(*) AS n, any_value(top) AS top, any_value(bottom) AS bottom, any_value(height) AS height, any_value(width) AS width FROM (SELECT *, avg(smooth) OVER (PARTITION BY image_id) AS mean FROM c2) WHERE smooth > mean + 10 GROUP BY image_id),
+c4 AS (SELECT *, floor((bottom - top) * 0.02::DOUBLE) AS dy, floor((r - l) * 0.01::DOUBLE) AS dx FROM c3 WHERE n >= width * 0.3::DOUBLE)
+SELECT image_id, greatest(0, l - dx)::INTEGER AS x, greatest(0, top - dy)::INTEGER AS y, (least(width, r + dx) - greatest(0, l - dx))::INTEGER AS w, (least(height, bottom + dy) - greatest(0, top - dy))::INTEGER AS h FROM c4""")
+def projection_box(spark, sf_dir):
+    return profile.projection_boxes(supplier_pixels(spark, sf_dir))
+
+
+def supplier_pixels(spark, sf_dir):
+    images = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey as k", "cast(20 + s_suppkey * 37 % 700 as double) as h")
+    pixels = images.selectExpr("k", "h", "explode(sequence(0, cast(h as int) - 1)) as y").selectExpr("k", "h", "y", "explode(sequence(0, 39)) as x")
+    return spark.sql(f"{PIXELS} {{pixels}}", pixels=pixels)
+
+
 def with_later_rows(fields: DataFrame) -> DataFrame:
     """The fields stored once more for some receipts, with lower values and confidences: ``field_id`` tells which is later."""
     first = fields.withColumn("field_id", F.col("transaction_id"))

@@ -162,6 +162,33 @@ def test_streams(spark, tmp_path):
     assert tidy(spark.read.parquet(str(tmp_path / "e" / "1"))) == tidy(stats.entities(whole, whole.selectExpr("id as transaction_id", "inline(fields)")))
 
 
+def test_profile_box_in_both_forms(spark):
+    """The relational plan and the one within an image give the same boxes, on planted blocks, noise and odd shapes."""
+    import numpy as np
+
+    from tallyforge.operators import profile
+    from tallyforge.plans.queries import supplier_pixels
+    from tallyforge.sources import boxes
+
+    rng = np.random.default_rng(5)
+    images = {}
+    for k in range(60):
+        h, w = int(rng.integers(6, 640 if k < 6 else 90)), int(rng.integers(6, 40))
+        image = rng.integers(0, 60, (h, w))
+        top, left = int(rng.integers(0, h // 2)), int(rng.integers(0, w // 2))
+        image[top : top + int(h * rng.uniform(0.15, 0.75)), left : left + int(w * rng.uniform(0.2, 1))] += int(rng.integers(20, 190))
+        images[k] = image.astype(np.uint8)
+    rows = [(k, y, x, int(v)) for k, image in images.items() for (y, x), v in np.ndenumerate(image)]
+    frames = [(spark.createDataFrame(rows, "image_id long, y int, x int, grey int").repartition(5), images)]
+    made = supplier_pixels(spark, DATA).toPandas()
+    frames.append((supplier_pixels(spark, DATA), {int(k): g.pivot(index="y", columns="x", values="grey").to_numpy().astype(np.uint8) for k, g in made.groupby("image_id")}))
+    for frame, each in frames:
+        got = {r.image_id: (r.x, r.y, r.w, r.h) for r in profile.projection_boxes(frame).collect()}
+        wanted = {k: box for k, image in each.items() if (box := boxes.by_projection(image))}
+        assert got == wanted and wanted
+    assert profile.projection_boxes(frames[0][0].limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     connection = duckdb.connect()
