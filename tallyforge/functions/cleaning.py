@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,13 +96,30 @@ def contains_like(v: Column, part: str) -> Column:
     return fold(v).like(f"%{folded}%")
 
 
-def parsed_datetime(v: Column) -> Column:
-    """Day-first times in three formats, then month-first ones inside other text (the lenient rest); null: none."""
-    text = F.trim(v)
-    strict = [F.try_to_timestamp(text, F.lit(p)) for p in ("d-MMM-yyyy H:m:s", "d-MMMM-yyyy H:m:s", "d/M/yyyy H:m:s")]
-    inner = F.regexp_extract(text, r"(\d{1,2}/\d{1,2}/\d{4})", 1)
-    clock = F.regexp_extract(text, r"(\d{1,2}:\d{2}(?::\d{2})?)", 1)
-    clock = F.when(clock == "", "0:0:0").when(F.rlike(clock, F.lit(r"^\d+:\d+$")), F.concat(clock, F.lit(":0"))).otherwise(clock)
-    loose = F.concat(inner, F.lit(" "), clock)
-    iso = F.try_to_timestamp(F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}:\d{2})?)", 1))
-    return F.coalesce(*strict, F.try_to_timestamp(loose, F.lit("M/d/yyyy H:m:s")), F.try_to_timestamp(loose, F.lit("d/M/yyyy H:m:s")), iso)
+def lenient_datetime(v: Column, as_of: Column) -> Column:
+    """The date that a text holds among other words, as ``yyyy-MM-dd HH:mm:ss``: months before days, missing parts from the
+    day of ``as_of``, a time zone left out; null without one.  A pandas UDF over the general date parser that comes with
+    pandas, so for what built-in formats leave over."""
+
+    @F.pandas_udf("string")
+    def read(texts: pd.Series, days: pd.Series) -> pd.Series:
+        from dateutil import parser
+
+        def one(text: str | None, day: str | None) -> str | None:
+            if not text or not day:
+                return None
+            try:
+                return parser.parse(text, fuzzy=True, default=datetime.datetime.fromisoformat(day)).replace(tzinfo=None).isoformat(" ", "seconds")
+            except Exception:  # noqa: BLE001  whatever a text does to the parser, it is no date
+                return None
+
+        return pd.Series([one(t, d) for t, d in zip(texts, days, strict=True)], dtype="object")
+
+    return read(v, F.date_format(as_of, "yyyy-MM-dd"))
+
+
+def parsed_datetime(v: Column, as_of: Column | None = None) -> Column:
+    """The time in one of three day-first formats, else what :func:`lenient_datetime` finds; null: none."""
+    strict = F.coalesce(*(F.try_to_timestamp(v, F.lit(p)) for p in ("d-MMM-yyyy H:m:s", "d-MMMM-yyyy H:m:s", "d/M/yyyy H:m:s")))
+    rest = lenient_datetime(F.when(strict.isNull(), v), F.current_timestamp() if as_of is None else as_of)
+    return F.coalesce(strict, F.try_to_timestamp(rest, F.lit("yyyy-MM-dd HH:mm:ss")))

@@ -40,7 +40,7 @@ def confidence_of(field: str) -> Column:
 def issues(as_of: Column) -> Column:
     """The issues of a wide row, in the order id, amount, accounts, time; their texts are fixed values."""
     ref, amount, when = value_of("transaction_id"), value_of("amount"), value_of("datetime")
-    number, moment = parsed_amount(amount), parsed_datetime(when)
+    number, moment = parsed_amount(amount), parsed_datetime(when, as_of)
     out = [
         issue(ref.isNull(), "transaction_id", "error", "Transaction ID missing"),
         issue(~F.rlike(ref, F.lit(r"(?U)^\d{10,11}$")), "transaction_id", "error", F.concat(F.lit("Invalid format: '"), ref, F.lit("' (expected 10-11 digits)"))),

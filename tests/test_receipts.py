@@ -50,6 +50,25 @@ def test_dates(spark, value, wanted):
     assert (got and (got.month, got.day)) == wanted
 
 
+def test_lenient_dates(spark):
+    """Month first, days over 12 swapped with months of full dates, names, two-digit years, parts from the given day."""
+    day = datetime.datetime(2025, 6, 30, 17, 5)
+    wanted = {
+        "12-may-2025 10:42:11": (2025, 5, 12, 10, 42, 11), "1/2/2025 3:4:5": (2025, 2, 1, 3, 4, 5), "on 05/06/2025 at 10:00": (2025, 5, 6, 10, 0, 0), "31/12/2024 1:2:3 PM": (2024, 12, 31, 13, 2, 3),
+        "paid May 2024": (2024, 5, 30, 0, 0, 0), "feb": (2025, 2, 28, 0, 0, 0), "at 10:42": (2025, 6, 30, 10, 42, 0), "12-May-25 10:42:11": (2025, 5, 12, 10, 42, 11), "2025-05-12T10:00:00+03:00": (2025, 5, 12, 10, 0, 0),
+        "20250512": (2025, 5, 12, 0, 0, 0), "٣/٤/٢٠٢٥": (2025, 3, 4, 0, 0, 0), "12.5.2025": (2025, 12, 5, 0, 0, 0), "99/99/2025": None, "xx": None, "": None, None: None, "1" * 5000: None, "31/02/2025 1:1:1": None,
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(wanted)], "k int, v string")
+    got = {r.v: r.t for r in rows.select("v", cleaning.parsed_datetime(F.col("v"), F.lit(day).cast("timestamp_ntz")).alias("t")).collect()}
+    assert {v: t and t.timetuple()[:6] for v, t in got.items()} == wanted
+    strict = cleaning.parsed_datetime(F.col("v"), F.lit(day))
+    assert rows.limit(0).select(strict).count() == 0 and one(spark, strict, v="1/2/2025 3:4:5").month == 2
+    future = validate.issues(F.lit(day).cast("timestamp_ntz"))
+    fields = [(1, "datetime", "1 July", 0.9), (2, "datetime", "at 10:42", 0.9)]
+    wide = validate.wide(spark.createDataFrame(fields, "txn_pk long, field_name string, field_value string, ocr_confidence double"))
+    assert {r.txn_pk: [i.message for i in r.i if i.field == "datetime"] for r in wide.select("txn_pk", future.alias("i")).collect()} == {1: ["Date is in future: 1 July"], 2: []}
+
+
 def test_like(spark):
     assert one(spark, cleaning.contains_like(F.col("v"), "b"), v="ABC")
     assert not one(spark, cleaning.contains_like(F.col("v"), "é"), v="É")
