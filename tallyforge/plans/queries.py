@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.cleaning import correct_datetime, correct_number, should_review
-from tallyforge.operators import extract, profile, query, stats, store, validate
+from tallyforge.operators import extract, grams, profile, query, references, stats, store, validate
 from tallyforge.plans.receipts_view import CTE, fields, transactions
 from tallyforge.schemas import FIELDS, WEIGHTS
 from tallyforge.sources import sinks
@@ -32,8 +32,12 @@ def now() -> F.Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return transactions(spark, sf_dir), fields(spark, sf_dir)
+def both(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, DataFrame]:
+    """The receipts and their fields, or those fields that an operator looks at."""
+    return transactions(spark, sf_dir), fields(spark, sf_dir, names or None)
+
+
+ENTITY_FIELDS = ("from_account", "to_account", "receiver_name")
 
 
 PIVOT = ", ".join(f"max(CASE WHEN field_name = '{f}' THEN field_value END) AS {f}" for f in FIELDS)
@@ -65,12 +69,12 @@ AND id IN (SELECT transaction_id FROM tf WHERE field_name = 'receiver_name' AND
 AND {TEXT_TIME} >= '1993-01-01' AND {TEXT_TIME} <= '1997-12-31'
 AND id NOT IN (SELECT transaction_id FROM tf WHERE field_name = 'amount' AND (TRY_CAST(replace(field_value, ',', '') AS DOUBLE) < 1000 OR TRY_CAST(replace(field_value, ',', '') AS DOUBLE) > 200000))""")
 def search_transactions(spark, sf_dir):
-    return query.search(*both(spark, sf_dir), from_account="4000 0000", receiver_name="SUPPLIER#00000000", date_from="1993-01-01", date_to="1997-12-31", min_amount=1000, max_amount=200000).select("id", "filename")
+    return query.search(*both(spark, sf_dir, "from_account", "receiver_name", "amount"), from_account="4000 0000", receiver_name="SUPPLIER#00000000", date_from="1993-01-01", date_to="1997-12-31", min_amount=1000, max_amount=200000).select("id", "filename")
 
 
 @register(f"{CTE} SELECT id, filename, status FROM tx WHERE id IN (SELECT transaction_id FROM tf WHERE field_name = 'transaction_id' AND field_value = '1000000048')")
 def transaction_by_reference(spark, sf_dir):
-    return query.by_reference(*both(spark, sf_dir), "1000000048").select("id", "filename", "status")
+    return query.by_reference(*both(spark, sf_dir, "transaction_id"), "1000000048").select("id", "filename", "status")
 
 
 @register(f"{CTE} SELECT id, status, count(field_name)::BIGINT AS n_fields, max(CASE WHEN field_name = 'amount' THEN field_value END) AS amount FROM tx LEFT JOIN tf ON transaction_id = id GROUP BY id, status")
@@ -81,7 +85,7 @@ def transaction_document(spark, sf_dir):
 
 @register(f"{CTE} SELECT field_value AS reference, count(*)::BIGINT AS n FROM tf WHERE field_name = 'transaction_id' GROUP BY 1 HAVING count(*) > 1")
 def duplicate_references(spark, sf_dir):
-    return query.duplicate_references(fields(spark, sf_dir))
+    return query.duplicate_references(fields(spark, sf_dir, ("transaction_id",)))
 
 
 ENTITIES = f"""{CTE}, ent AS (SELECT a.field_name AS entity_type, a.field_value AS value,
@@ -93,17 +97,17 @@ RANKED = "row_number() OVER (PARTITION BY entity_type ORDER BY verified DESC, fr
 
 @register(f"{ENTITIES} SELECT * FROM ent")
 def known_entities(spark, sf_dir):
-    return stats.entities(*both(spark, sf_dir))
+    return stats.entities(*both(spark, sf_dir, *ENTITY_FIELDS))
 
 
 @register(f"{ENTITIES} SELECT entity_type, value, coalesce(nullif(display_name, ''), value) AS display_name, frequency, {RANKED}::INTEGER AS place FROM ent QUALIFY place <= 10")
 def entity_topk(spark, sf_dir):
-    return query.top_entities(stats.entities(*both(spark, sf_dir)), 10).select("entity_type", "value", "display_name", "frequency", "place")
+    return query.top_entities(stats.entities(*both(spark, sf_dir, *ENTITY_FIELDS)), 10).select("entity_type", "value", "display_name", "frequency", "place")
 
 
 @register(f"{ENTITIES} SELECT entity_type, value, frequency, {RANKED}::INTEGER AS place FROM ent WHERE value LIKE '%0001%' OR display_name LIKE '%0001%' QUALIFY place <= 25")
 def entity_search(spark, sf_dir):
-    return query.top_entities(stats.entities(*both(spark, sf_dir)), 25, "0001").select("entity_type", "value", "frequency", "place")
+    return query.top_entities(stats.entities(*both(spark, sf_dir, *ENTITY_FIELDS)), 25, "0001").select("entity_type", "value", "frequency", "place")
 
 
 SIDES = f"""top AS (SELECT *, {RANKED} + CASE entity_type WHEN 'from_account' THEN 0 WHEN 'to_account' THEN 1000 ELSE 2000 END AS idx, {RANKED} AS p FROM ent2)"""
@@ -111,14 +115,14 @@ SIDES = f"""top AS (SELECT *, {RANKED} + CASE entity_type WHEN 'from_account' TH
 
 @register(f"{ENTITIES}, ent2 AS (SELECT * FROM ent), {SIDES} SELECT value, arg_min(value, idx) AS display_name, arg_min(frequency, idx)::BIGINT AS frequency, 0 AS verified FROM top WHERE p <= 50 AND entity_type <> 'receiver_name' GROUP BY value")
 def known_accounts_merged(spark, sf_dir):
-    return query.known_accounts(stats.entities(*both(spark, sf_dir)))
+    return query.known_accounts(stats.entities(*both(spark, sf_dir, *ENTITY_FIELDS)))
 
 
 @register(f"""{ENTITIES}, ent2 AS (SELECT * FROM ent WHERE value LIKE '%000%' OR display_name LIKE '%000%'), {SIDES},
 u AS (SELECT CASE entity_type WHEN 'receiver_name' THEN display_name ELSE value END AS v, value AS d, frequency, idx FROM top WHERE p <= 25 AND (entity_type <> 'receiver_name' OR (display_name <> '' AND display_name <> value)))
 SELECT v AS value, arg_min(d, idx) AS display_name, arg_min(frequency, idx)::BIGINT AS frequency, 0 AS verified FROM u GROUP BY v""")
 def account_search_merged(spark, sf_dir):
-    return query.search_accounts(stats.entities(*both(spark, sf_dir)), "000")
+    return query.search_accounts(stats.entities(*both(spark, sf_dir, *ENTITY_FIELDS)), "000")
 
 
 @register(f"{CTE} SELECT created_at::DATE AS date, count(*)::BIGINT AS total_processed, sum(1 - needs_review)::BIGINT AS auto_verified, sum(needs_review)::BIGINT AS manually_reviewed, round(avg(overall_confidence), 6) AS avg_confidence FROM tx GROUP BY 1")
@@ -132,7 +136,7 @@ SELECT coalesce(sum(n), 0)::BIGINT AS total_processed, coalesce(sum(a), 0)::BIGI
  (SELECT round(coalesce(sum(coalesce(TRY_CAST(replace(field_value, ',', '') AS DOUBLE), 0)), 0), 2) FROM tf JOIN tx ON tx.id = transaction_id WHERE field_name = 'amount' AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY) AS total_amount
 FROM d WHERE date >= DATE '1998-08-02' - 365""")
 def period_stats(spark, sf_dir):
-    tx, tf = both(spark, sf_dir)
+    tx, tf = both(spark, sf_dir, "amount")
     rows = stats.period(stats.daily(tx), tx, tf, now(), 365)
     return rows.select("total_processed", "auto_verified", "manually_reviewed", F.round("avg_confidence", 6).alias("avg_confidence"), F.round("total_amount", 2).alias("total_amount"))
 
@@ -266,6 +270,28 @@ def supplier_pixels(spark, sf_dir):
     return spark.sql(f"{PIXELS} {{pixels}}", pixels=pixels)
 
 
+@register(f"""{CTE} SELECT id, filename FROM tx
+WHERE id IN (SELECT transaction_id FROM tf WHERE field_name = 'from_account' AND lower(field_value) LIKE '%000 0000 00_1%')
+AND id IN (SELECT transaction_id FROM tf WHERE field_name = 'receiver_name' AND lower(field_value) LIKE '%supplier%00%')""")
+def search_indexed(spark, sf_dir):
+    names = ("from_account", "receiver_name")
+    tx, tf = both(spark, sf_dir, *names)
+    return grams.search_indexed(tx, tf, grams.gram_index(tf, names), from_account="000 0000 00_1", receiver_name="Supplier%00").select("id", "filename")
+
+
+@register(f"""{CTE}, r AS (SELECT transaction_id AS id, field_value AS reference FROM tf WHERE field_name = 'transaction_id'),
+b AS (SELECT CASE WHEN id % 6 = 5 THEN id + 1000000000 ELSE id END AS id, CASE WHEN id % 14 = 7 THEN NULL ELSE reference END AS reference FROM r WHERE id % 3 = 2)
+SELECT id, reference, coalesce(reference IN (SELECT reference FROM r WHERE id % 3 <> 2), false) AS stored,
+ CASE WHEN reference IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY reference ORDER BY id) - 1 END::BIGINT AS repeats FROM b""")
+def ingest_duplicates(spark, sf_dir):
+    rows = fields(spark, sf_dir, ("transaction_id",))
+    stored, new = rows.where("transaction_id % 3 <> 2"), rows.where("transaction_id % 3 = 2")
+    batch = new.selectExpr("case when transaction_id % 6 = 5 then transaction_id + 1000000000 else transaction_id end as id", "case when transaction_id % 14 = 7 then null else field_value end as reference")
+    buckets = references.buckets_for(stored.count())
+    halves = [references.reference_filter(stored.where(f"transaction_id % 2 = {k}"), buckets) for k in (0, 1)]
+    return references.ingest_duplicates(batch, stored, references.merged_filters(*halves), buckets)
+
+
 def with_later_rows(fields: DataFrame) -> DataFrame:
     """The fields stored once more for some receipts, with lower values and confidences: ``field_id`` tells which is later."""
     first = fields.withColumn("field_id", F.col("transaction_id"))
@@ -319,7 +345,7 @@ def multi_field_edit(spark, sf_dir):
 SELECT entity_type, value, display_name, frequency, last_seen, verified FROM ent
 UNION ALL SELECT entity_type, value, arg_max(display_name, seq), count(*)::BIGINT, max(moment), 1 FROM ed GROUP BY 1, 2""")
 def entities_after_edits(spark, sf_dir):
-    tx, tf = both(spark, sf_dir)
+    tx, tf = both(spark, sf_dir, *ENTITY_FIELDS)
     return stats.merge_entities(stats.entities(tx, tf), store.edited_entities(tf, updates(spark, sf_dir)))
 
 

@@ -54,12 +54,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TRANSACTIONS.replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
-def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long rows; the join is done once and each order's row gives its fields as an array."""
+def fields(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = None) -> DataFrame:
+    """Long rows; the join is done once and each order's row gives its fields (those of ``names``) as an array."""
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     sql = BASE.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}").replace("JOIN supplier", "JOIN {supplier}")
     base = spark.sql(sql, orders=read("orders"), lineitem=read("lineitem"), supplier=read("supplier"))
-    items = ", ".join(f"case when {w} then struct('{f}' as field_name, {v} as field_value, cast({c} as double) / cast(100 as double) as ocr_confidence) end" for f, v, w, c in PARTS)
+    items = ", ".join(f"case when {w} then struct('{f}' as field_name, {v} as field_value, cast({c} as double) / cast(100 as double) as ocr_confidence) end" for f, v, w, c in PARTS if names is None or f in names)
     return base.selectExpr("k as transaction_id", f"explode(array({items})) as f").where("f is not null").select("transaction_id", "f.*")
 
 
