@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.query import flat
 from tallyforge.schemas import FIELDS
+from tallyforge.sources.xlsx import XlsxDataSource
 
 EXPORT = ("filename", "receipt_type", *FIELDS, "confidence", "needs_review", "issues")
 
@@ -34,11 +35,14 @@ def flagged(rows: DataFrame) -> DataFrame:
 
 
 def write(rows: DataFrame, path: str, kind: str = "json") -> None:
-    """JSON lines or CSV with a header (null: empty cell), one file per task; XLSX needs a writer that Spark lacks."""
+    """JSON lines, CSV with a header or workbooks (null: empty cell), one file per task; what was there is replaced."""
     if kind == "json":
         rows.write.mode("overwrite").json(path)
     elif kind == "csv":
         rows.write.mode("overwrite").option("header", True).csv(path)
+    elif kind == "xlsx":
+        rows.sparkSession.dataSource.register(XlsxDataSource)
+        rows.write.mode("overwrite").format("xlsx").option("path", path).save()
     else:
         raise ValueError(f"Unknown export format {kind}")
 
