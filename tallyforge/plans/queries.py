@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions.cleaning import correct_datetime, correct_number, should_review
+from tallyforge.functions.cleaning import correct_datetime, correct_number, is_label, should_review
 from tallyforge.operators import extract, grams, profile, query, references, stats, store, validate
 from tallyforge.plans.receipts_view import CTE, fields, transactions
 from tallyforge.schemas import FIELDS, WEIGHTS
@@ -292,6 +292,84 @@ def ingest_duplicates(spark, sf_dir):
     return references.ingest_duplicates(batch, stored, references.merged_filters(*halves), buckets)
 
 
+MIXED = "SELECT doc_id, k, CASE WHEN (doc_id + k) % 5 = 0 THEN concat('المبلغ', word) WHEN (doc_id + k) % 7 = 0 THEN concat(word, 'رقم') WHEN (doc_id + k) % 11 = 0 THEN concat('From ', word) ELSE word END AS text, CASE (doc_id + 3 * k) % 4 WHEN 0 THEN 'amount' WHEN 1 THEN 'comment' WHEN 2 THEN 'from_account' ELSE 'datetime' END AS field FROM"
+
+
+@register(rf"""WITH w AS (SELECT doc_id, word, unnest(range(len(words))) AS k, words FROM (SELECT doc_id, '' AS word, string_split(text, ' ') AS words FROM documents)),
+t AS ({MIXED} (SELECT doc_id, k, words[k + 1] AS word FROM w)),
+l AS (SELECT *, replace(lower(text), ' ', '') AS plain, length(regexp_replace(text, '[^\x{{0600}}-\x{{06FF}}]', '', 'g')) AS arabic, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters FROM t)
+SELECT doc_id, field, count(*)::BIGINT AS n_tokens, count(*) FILTER (WHERE (field = 'amount' AND (contains(plain, 'المبلغ') OR contains(plain, 'amount'))) OR (field = 'comment' AND (contains(plain, 'التعليق') OR contains(plain, 'comment')))
+ OR (field = 'from_account' AND (contains(plain, 'منحساب') OR contains(plain, 'from'))) OR (field = 'datetime' AND (contains(plain, 'التاريخوالزمن') OR contains(plain, 'date'))) OR (letters > 0 AND arabic > 0.7::DOUBLE * letters AND field <> 'comment'))::BIGINT AS n_labels
+FROM l GROUP BY ALL""")
+def label_filter(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("k", "word"))
+    tokens = spark.sql(f"{MIXED} {{words}}", words=docs)
+    return tokens.groupBy("doc_id", "field").agg(F.count("*").alias("n_tokens"), F.count_if(is_label(F.col("text"), F.col("field"))).alias("n_labels"))
+
+
+@register("""WITH w AS (SELECT conv_id, turn, words, unnest(range(len(words))) AS k FROM (SELECT conv_id, turn, string_split(text, ' ') AS words FROM conversations)),
+t AS (SELECT conv_id, turn, k, trim(words[k + 1]) AS text, (k * 37 + turn) % 100 - 5 AS conf, k * 10 AS l, k % 3 AS tp, 5 + length(words[k + 1]) AS w, 9 AS h FROM w)
+SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS image_id, k::INTEGER AS token_idx, text, conf / 100::DOUBLE AS confidence, l::INTEGER AS x0, tp::INTEGER AS y0, (l + w)::INTEGER AS x1, (tp + h)::INTEGER AS y1 FROM t WHERE conf > 0 AND text <> ''""")
+def column_tokens(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("image_id"), "turn", F.split("text", " ", -1).alias("text"))
+    place = lambda f: F.transform("text", lambda w, k: f(w, k).cast("int"))
+    rows = rows.select("image_id", "text", place(lambda w, k: (k * 37 + F.col("turn")) % 100 - 5).alias("conf"), place(lambda w, k: k * 10).alias("left"), place(lambda w, k: k % 3).alias("top"), place(lambda w, k: 5 + F.length(w)).alias("width"), place(lambda w, k: F.lit(9)).alias("height"))
+    corner = lambda c, k: F.col("bbox")[c][k]
+    return extract.column_tokens(rows).select("image_id", "token_idx", "text", "confidence", corner(0, 0).alias("x0"), corner(0, 1).alias("y0"), corner(2, 0).alias("x1"), corner(2, 1).alias("y1"))
+
+
+@register(r"""WITH w AS (SELECT conv_id, turn, words, unnest(range(len(words))) AS k FROM (SELECT conv_id, turn, string_split(text, ' ') AS words FROM conversations)),
+t AS (SELECT conv_id, turn, k, words[k + 1] AS word, (k * 13) % 7 AS x FROM w), f AS (SELECT *, NOT contains(lower(word), 'comment') AND length(trim(word)) >= 2 AS kept FROM t),
+g AS (SELECT *, bool_or(kept) OVER (PARTITION BY conv_id, turn) AS any_kept FROM f)
+SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS image_id, md5(trim(regexp_replace(string_agg(word, ' ' ORDER BY x, k), '\s+', ' ', 'g'))) AS value, round(avg(0.5 + (k % 5) / 10::DOUBLE), 6) AS confidence, avg(0.5 + (k % 5) / 10::DOUBLE) < 0.7 AS needs_review
+FROM g WHERE kept OR (NOT any_kept AND length(trim(word)) >= 3) GROUP BY 1""")
+def assembled_comments(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    tokens = rows.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("image_id"), F.posexplode(F.split("text", " ", -1)).alias("k", "text"))
+    item = F.struct(F.lit("comment").alias("field_name"), (F.col("k") * 13 % 7).alias("x"), F.col("k").alias("token_idx"), "text", (0.5 + F.col("k") % 5 / 10).alias("confidence"))
+    read = tokens.groupBy("image_id").agg(F.collect_list(item).alias("tokens"))
+    out = extract.fields_of(read).where("comment is not null")
+    return out.select("image_id", F.md5(F.col("comment.value").cast("binary")).alias("value"), F.round("comment.confidence", 6).alias("confidence"), "comment.needs_review")
+
+
+@register(f"{CTE} SELECT transaction_id AS txn_pk, round(avg(ocr_confidence), 6) AS confidence FROM tf WHERE field_name IN ('transaction_id', 'amount', 'from_account', 'to_account') AND ocr_confidence > 0 GROUP BY 1")
+def critical_confidence(spark, sf_dir):
+    return wide_rows(spark, sf_dir).select("txn_pk", F.round(validate.critical_mean(), 6).alias("confidence"))
+
+
+@register(f"{CTE} SELECT count(*)::BIGINT AS total, round(avg((id % 17) / 10::DOUBLE), 6) AS avg_seconds FROM tx")
+def timed_summary(spark, sf_dir):
+    rows = stats.batch_summary(transactions(spark, sf_dir), F.col("id") % 17 / 10)
+    return rows.select("total", F.round("avg_seconds", 6).alias("avg_seconds"))
+
+
+@register(f"{CTE} SELECT id, filename, overall_confidence FROM tx WHERE needs_review = 1")
+def flagged_report(spark, sf_dir):
+    return sinks.flagged(transactions(spark, sf_dir)).select("id", "filename", "overall_confidence")
+
+
+PLACES = " ".join(f"WHEN '{f}' THEN {k}" for k, f in enumerate(FIELDS))
+
+
+def ingested(spark, sf_dir):
+    rows = validate.validate(wide_rows(spark, sf_dir), now()).withColumnRenamed("txn_pk", "id")
+    return rows.withColumns({"filename": F.concat(F.lit("img_"), F.col("id").cast("string")), "receipt_type": F.lit("white")})
+
+
+@register(f"{CTE} SELECT transaction_id * 8 + CASE field_name {PLACES} END AS field_id, transaction_id, field_name, field_value, ocr_confidence, 0 AS manually_edited FROM tf")
+def ingested_fields(spark, sf_dir):
+    return store.ingest(ingested(spark, sf_dir), now())[1].select("field_id", "transaction_id", "field_name", "field_value", "ocr_confidence", "manually_edited")
+
+
+ORDERED = ORACLES["validation_issues"].replace("SELECT t AS txn_pk, field, severity, message FROM i", "")
+
+
+@register(f"""{ORDERED}, o AS (SELECT *, CASE field WHEN 'amount' THEN CASE WHEN severity = 'error' THEN 0 ELSE 1 END WHEN 'to_account' THEN 2 WHEN 'accounts' THEN 3 ELSE 4 END AS place FROM i)
+SELECT t * 16 + row_number() OVER (PARTITION BY t ORDER BY place) - 1 AS issue_id, t AS transaction_id, field AS field_name, severity, message, 0 AS resolved FROM o""")
+def ingested_issues(spark, sf_dir):
+    return store.ingest(ingested(spark, sf_dir), now())[2]
+
+
 def with_later_rows(fields: DataFrame) -> DataFrame:
     """The fields stored once more for some receipts, with lower values and confidences: ``field_id`` tells which is later."""
     first = fields.withColumn("field_id", F.col("transaction_id"))

@@ -27,4 +27,4 @@ ISSUES = "issue_id long, transaction_id long, field_name string, severity string
 ENTITIES = "entity_type string, value string, display_name string, frequency long, last_seen timestamp_ntz, verified int"
 STATS = "date date, total_processed long, auto_verified long, manually_reviewed long, avg_processing_time double, avg_confidence double"
 TOKENS = "image_id string, slice_idx int, field_name string, token_idx int, text string, confidence double, bbox array<array<int>>"
-TEMPLATE = "template_name string, receipt_type string, image_dimensions struct<width:int,height:int>, fields map<string,struct<label_ar:string,region:struct<x:int,y:int,width:int,height:int>,value_position:string,expected_pattern:string,preprocessing:struct<enhance_contrast:boolean,binarize:boolean>>>"
+TEMPLATE = "template_name string, description string, receipt_type string, image_dimensions struct<typical_width:int,typical_height:int,note:string>, fields map<string,struct<label_ar:string,region:struct<x:int,y:int,width:int,height:int>,value_position:string,expected_pattern:string,preprocessing:struct<enhance_contrast:boolean,binarize:boolean>>>"

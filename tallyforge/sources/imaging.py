@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyforge import schemas
 from tallyforge.sources.boxes import fallback_box, find_box, green  # noqa: F401  (part of this interface)
@@ -44,9 +45,9 @@ def receipt_type(image: np.ndarray) -> str:
     return "green" if float(green(image, TYPE_GREEN).mean()) > GREEN_SHARE else "white"
 
 
-def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    if height <= 0 or width <= 0:
-        raise ValueError("Cannot decode image")
+def pixels(data: bytes, height: int, width: int, channels: int, error: str | None = None) -> np.ndarray:
+    if error or height <= 0 or width <= 0:
+        raise ValueError(error or "Cannot decode image")
     return np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
 
 
@@ -79,13 +80,13 @@ def preprocess(images: DataFrame, target_height: int = HEIGHT) -> DataFrame:
             for r in frame.itertuples():
                 start = time.perf_counter()
                 try:
-                    crop, found, box = cropped(pixels(r.data, r.height, r.width, r.channels), target_height)
+                    crop, found, box = cropped(pixels(r.data, r.height, r.width, r.channels, r.error), target_height)
                     out.append((r.image_id, receipt_type(crop), *box, *crop.shape[:2], r.channels, crop.tobytes(), None, found, time.perf_counter() - start))
                 except Exception as e:  # noqa: BLE001  reported as a row
                     out.append((r.image_id, "unknown", 0, 0, 0, 0, -1, -1, r.channels, None, str(e) or type(e).__name__, None, time.perf_counter() - start))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return images.select("image_id", "height", "width", "channels", "data").mapInPandas(task, SCHEMA)
+    return with_error(images).mapInPandas(task, SCHEMA)
 
 
 def bands(images: DataFrame) -> DataFrame:
@@ -104,6 +105,12 @@ def bands(images: DataFrame) -> DataFrame:
 Reader = Callable[[bytes, int, int, int], list[tuple[str, float, list]]]
 
 
+def with_error(images: DataFrame) -> DataFrame:
+    """The columns of images that are read, with the ``error`` that decoding left, if it says so."""
+    error = F.col("error") if "error" in images.columns else F.lit(None).cast("string")
+    return images.select("image_id", "height", "width", "channels", "data", error.alias("error"))
+
+
 def read_receipts(images: DataFrame, reader: Callable[[], Reader], target_height: int = HEIGHT, crop: bool = True) -> DataFrame:
     """From images (``image_id, height, width, channels, data``) to one row each with all tokens of its bands: cropped,
     typed, cut and read in one map, so that neither image nor band is moved.
@@ -119,7 +126,7 @@ def read_receipts(images: DataFrame, reader: Callable[[], Reader], target_height
             for r in frame.itertuples():
                 start, kind, tokens, error = time.perf_counter(), "unknown", [], None
                 try:
-                    image = pixels(r.data, r.height, r.width, r.channels)
+                    image = pixels(r.data, r.height, r.width, r.channels, r.error)
                     image = cropped(image, target_height)[0] if crop else image
                     kind = receipt_type(image)
                     for _, field, top, bottom in band_rows(image.shape[0]):
@@ -130,4 +137,4 @@ def read_receipts(images: DataFrame, reader: Callable[[], Reader], target_height
                 out.append((r.image_id, kind, error, time.perf_counter() - start, tokens))
             yield pd.DataFrame(out, columns=["image_id", "receipt_type", "error", "seconds", "tokens"])
 
-    return images.select("image_id", "height", "width", "channels", "data").mapInPandas(task, READ)
+    return with_error(images).mapInPandas(task, READ)

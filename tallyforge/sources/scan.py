@@ -15,13 +15,15 @@ PATTERN = "*.{png,jpg,jpeg,PNG,JPG,JPEG}"
 MAX_BATCH = 50
 
 
-def images(spark: SparkSession, *paths: str, pattern: str = PATTERN) -> DataFrame:
+def images(spark: SparkSession, *paths: str, pattern: str = PATTERN, ordered: bool = True) -> DataFrame:
     """Images of folders (not of those below) or files by path, in its order; what cannot be decoded stays, with height -1.
 
+    The order moves all pixels; a plan that goes on from images should do without (``ordered=False``) and sort its results.
     A path that is not there is a ``ValueError``; a folder without images gives no rows.
     """
     try:
-        rows = spark.read.format("image").option("pathGlobFilter", pattern).option("dropInvalid", False).load(list(paths)).orderBy("image.origin")
+        rows = spark.read.format("image").option("pathGlobFilter", pattern).option("dropInvalid", False).load(list(paths))
+        rows = rows.orderBy("image.origin") if ordered else rows
     except AnalysisException as e:
         raise ValueError(f"No such folder: {e}") from e
     return rows.select(F.col("image.origin").alias("image_id"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")

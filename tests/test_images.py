@@ -159,9 +159,9 @@ def test_from_image_to_store_and_back(spark, tmp_path):
     (pictures / "good.png").write_bytes(encoded(good[..., ::-1], 30, 80, 8, 2))
     (pictures / "broken.png").write_bytes(b"none")
     (pictures / "unread.png").write_bytes(encoded(bad + 255, 30, 80, 8, 2))
-    read = imaging.read_receipts(scan.images(spark, str(pictures)), fake_reader(), crop=False)
-    assert "Exchange hashpartitioning" not in read._jdf.queryExecution().toString()
+    read = imaging.read_receipts(scan.images(spark, str(pictures), ordered=False), fake_reader(), crop=False)
     results = validate.results(extract.fields_of(read), F.lit(AS_OF).cast("timestamp_ntz"))
+    assert "Exchange" not in results._jdf.queryExecution().toString()  # from file to result nothing moves
     folder = str(tmp_path / "store")
     results.write.parquet(f"{folder}/results")
     sinks.save(folder, *store.ingest(spark.read.parquet(f"{folder}/results"), F.lit(AS_OF).cast("timestamp_ntz")))
@@ -193,6 +193,56 @@ def test_from_image_to_store_and_back(spark, tmp_path):
     assert len(ids) == len(set(ids)) == 14 and scan.receipts(spark, folder, "transactions").select("id").distinct().count() == 6
 
 
+def test_uploads_to_results(spark):
+    """Uploaded bytes give the results of files; what cannot be decoded is a result for review that says why."""
+    good = encoded(receipt_image()[..., ::-1], 30, 80, 8, 2)
+    files = spark.createDataFrame([("u/good.png", good, "image/png"), ("u/bad.png", good[:60], "image/png"), ("u/none.png", None, "image/png"), ("u/text", b"x", "text/plain")], "image_id string, content binary, content_type string")
+    read = imaging.read_receipts(png.decoded(scan.uploads(files)), fake_reader(), crop=False)
+    rows = {r.filename: r for r in validate.results(extract.fields_of(read), F.lit(AS_OF).cast("timestamp_ntz")).collect()}
+    assert set(rows) == {"good.png", "bad.png", "none.png"} and rows["good.png"].amount.value == "1,500.00" and rows["good.png"].processing_time > 0
+    assert [(i.field, i.severity) for i in rows["bad.png"].issues] == [("processing", "error")] and rows["bad.png"].issues[0].message.startswith("Cannot decode image: ") and rows["bad.png"].needs_review
+    assert imaging.preprocess(png.decoded(files.where("image_id = 'u/bad.png'"))).first().error.startswith("Cannot decode image: ")
+
+
+def test_reader_plug_in(spark):
+    """Tokens of bands by a caller's reader: blank texts are left out, a band that fails has none."""
+
+    def make():
+        def read(data, height, width, channels):
+            if height == 11:
+                raise RuntimeError("band")
+            return [(" a ", 0.5, [[1, 2]]), ("  ", 0.9, [[3, 4]]), (f"{height}x{width}x{channels}={len(data)}", 1, [[5, 6]])]
+
+        return read
+
+    rows = spark.createDataFrame([("a", 80, 30, 3, bytearray(receipt_image().tobytes()), None)], "image_id string, height int, width int, channels int, data binary, error string")
+    got = scan.read_tokens(imaging.bands(rows), make).collect()
+    assert {r.slice_idx for r in got} == {1, 2, 3, 4, 6} and {r.text for r in got} == {"a", "12x30x3=1080"} and {r.token_idx for r in got} == {0, 2} and got[0].bbox == [[1, 2]]
+
+
+def test_templates_and_regions(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"template_name": "t", "description": "d", "receipt_type": "r", "image_dimensions": {"typical_width": 500, "typical_height": 1080, "note": "n"}, "fields": {"amount": {"label_ar": "x", "region": {"x": 20, "y": 3, "width": 460, "height": 50}, "value_position": "right", "expected_pattern": "p", "preprocessing": {"enhance_contrast": true, "binarize": false}}}}')
+    row = scan.templates(spark, str(tmp_path / "t.json"))
+    assert row.first().image_dimensions.typical_height == 1080 and row.first().fields["amount"].preprocessing.enhance_contrast
+    r = row.select(F.explode("fields").alias("name", "f")).select("f.region.*").select(extract.region(F.col("x"), F.col("y"), F.col("width"), F.col("height"), F.lit(470), F.lit(50)).alias("r")).first().r
+    assert (r.left, r.top, r.right, r.bottom) == (15, 0, 470, 50)
+
+
+def test_projections_of_results(spark, tmp_path):
+    rows = validate.validate(validate.wide(spark.createDataFrame([(1, "amount", "5", 0.5), (2, "transaction_id", "1234567890", 0.95)], "txn_pk long, field_name string, field_value string, ocr_confidence double")), F.lit(AS_OF)).withColumns({"filename": F.concat(F.lit("f"), "txn_pk"), "receipt_type": F.lit("white")})
+    flat = {r.filename: r for r in sinks.flat_row(rows).collect()}
+    assert tuple(sinks.flat_row(rows).columns) == sinks.EXPORT and flat["f1"].amount == "5" and flat["f1"].confidence == 0.5 and flat["f1"].issues.startswith("transaction_id: Transaction ID missing; amount: Low confidence on CRITICAL field: 50.00%; from_account: Source account missing")
+    import json
+
+    answer = json.loads(sinks.response(rows.select("filename", *schemas.FIELDS)).where("json like '%f2%'").first().json)
+    assert set(answer) == {"filename", *schemas.FIELDS} and answer["amount"] is None and answer["transaction_id"]["value"] == "1234567890"
+    sinks.write(sinks.flat_row(rows), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    with pytest.raises(ValueError):
+        sinks.write(rows, str(tmp_path / "k"), "xml")
+    assert sinks.flagged(rows).count() == 2
+
+
 def test_cascade_on_images(spark):
     """Each finder's image is cropped to its box, and the first that finds one is taken."""
     bright = np.zeros((400, 300, 3), dtype=np.uint8)
