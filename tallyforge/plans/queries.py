@@ -321,15 +321,15 @@ def column_tokens(spark, sf_dir):
 @register(r"""WITH w AS (SELECT conv_id, turn, words, unnest(range(len(words))) AS k FROM (SELECT conv_id, turn, string_split(text, ' ') AS words FROM conversations)),
 t AS (SELECT conv_id, turn, k, words[k + 1] AS word, (k * 13) % 7 AS x FROM w), f AS (SELECT *, NOT contains(lower(word), 'comment') AND length(trim(word)) >= 2 AS kept FROM t),
 g AS (SELECT *, bool_or(kept) OVER (PARTITION BY conv_id, turn) AS any_kept FROM f)
-SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS image_id, md5(trim(regexp_replace(string_agg(word, ' ' ORDER BY x, k), '\s+', ' ', 'g'))) AS value, round(avg(0.5 + (k % 5) / 10::DOUBLE), 6) AS confidence, avg(0.5 + (k % 5) / 10::DOUBLE) < 0.7 AS needs_review
+SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS image_id, md5(trim(regexp_replace(string_agg(word, ' ' ORDER BY x, k), '\s+', ' ', 'g'))) AS value, sum(0.5::DOUBLE + (k % 5) / 8::DOUBLE) / count(*) AS confidence, sum(0.5::DOUBLE + (k % 5) / 8::DOUBLE) / count(*) < 0.7::DOUBLE AS needs_review
 FROM g WHERE kept OR (NOT any_kept AND length(trim(word)) >= 3) GROUP BY 1""")
 def assembled_comments(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     tokens = rows.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("image_id"), F.posexplode(F.split("text", " ", -1)).alias("k", "text"))
-    item = F.struct(F.lit("comment").alias("field_name"), (F.col("k") * 13 % 7).alias("x"), F.col("k").alias("token_idx"), "text", (0.5 + F.col("k") % 5 / 10).alias("confidence"))
+    item = F.struct(F.lit("comment").alias("field_name"), (F.col("k") * 13 % 7).alias("x"), F.col("k").alias("token_idx"), "text", (0.5 + F.col("k") % 5 / 8).alias("confidence"))
     read = tokens.groupBy("image_id").agg(F.collect_list(item).alias("tokens"))
     out = extract.fields_of(read).where("comment is not null")
-    return out.select("image_id", F.md5(F.col("comment.value").cast("binary")).alias("value"), F.round("comment.confidence", 6).alias("confidence"), "comment.needs_review")
+    return out.select("image_id", F.md5(F.col("comment.value").cast("binary")).alias("value"), "comment.confidence", "comment.needs_review")
 
 
 @register(f"{CTE} SELECT transaction_id AS txn_pk, round(avg(ocr_confidence), 6) AS confidence FROM tf WHERE field_name IN ('transaction_id', 'amount', 'from_account', 'to_account') AND ocr_confidence > 0 GROUP BY 1")
