@@ -118,6 +118,14 @@ def test_one_row_per_class(spark):
     assert ngram_join.one_per_class(frame.limit(0)).count() == 0
 
 
+def test_quality_of_many_lines(spark):
+    """A text of many different lines takes time in proportion to them (40,000 once took a minute)."""
+    many = "\n".join(f"line number {k} of this log" for k in range(60_000))
+    frame = spark.createDataFrame([(1, many, "s"), (2, "a b\na b", "s")], "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in quality.within_text(frame).collect()}
+    assert rows[1].n_words == 360_000 and rows[1].n_dup_lines == 0 and len(rows[1].lines) == 60_000 and len(rows[2].lines) == 1
+
+
 def test_pruning_keeps_true_pairs():
     least = ngram_join.least_matches(0.8, 1e-5)
     assert list(least) == [16, 32, 48, 64] and least[64] > least[16] and least[64] < 64 * 0.8
