@@ -22,6 +22,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.graph import cut
+
 DICE = 0.8
 
 #: Published licence notices and texts.
@@ -148,12 +150,13 @@ def licences(docs: DataFrame, dice: float = DICE) -> DataFrame:
     between = F.transform(F.filter("windows", lambda x: ~spare(x)), lambda x: F.struct(x["dice"].alias("dice"), x["name"].alias("name")))
     found = F.filter(F.concat("by_line", F.array("whole"), between), lambda h: h.isNotNull())
     rows = rows.select("doc_id", F.coalesce(found, F.array().cast("array<struct<dice:double,name:string>>")).alias("found"))
-    return rows.select(
+    # the result is narrow and is written: a filter on it would be pushed through all of the above, each step repeated
+    return cut(rows.select(
         "doc_id",
         F.size("found").cast("long").alias("n_units"),
         F.array_join(F.sort_array(F.array_distinct(F.transform("found", lambda h: h["name"]))), ",").alias("licences"),
         F.coalesce(F.array_max(F.transform("found", lambda h: h["dice"])), F.lit(0.0)).alias("best_dice"),
-    )
+    ))
 
 
 def windows(rows: DataFrame, dice: float = DICE) -> DataFrame:

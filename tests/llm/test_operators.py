@@ -126,6 +126,12 @@ def test_quality_of_many_lines(spark):
     assert rows[1].n_words == 360_000 and rows[1].n_dup_lines == 0 and len(rows[1].lines) == 60_000 and len(rows[2].lines) == 1
 
 
+def test_licences_filtered(spark, docs):
+    """A filter on the result is a scan of what was written (once its plan did not end)."""
+    found = licences.licences(docs)
+    assert found.where("n_units > 0").count() == sum(r.n_units > 0 for r in found.collect()) > 0
+
+
 def test_pruning_keeps_true_pairs():
     least = ngram_join.least_matches(0.8, 1e-5)
     assert list(least) == [16, 32, 48, 64] and least[64] > least[16] and least[64] < 64 * 0.8
