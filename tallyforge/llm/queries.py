@@ -41,6 +41,18 @@ def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(warc.manifest(records), warc.manifest(damaged_replica(records)))
 
 
+#: Pages of a replica in which records are lost, gained (a second one of their page), cut and exchanged (two ids swapped).
+REPLICA = """SELECT CASE page_id % 79 WHEN 1 THEN page_id + 1 WHEN 2 THEN page_id - 1 ELSE page_id END AS page_id, url,
+ CASE WHEN page_id % 83 = 7 AND length(html) > 5 THEN substr(html, 1, length(html) - 5) ELSE html END AS html FROM pages WHERE page_id % 97 <> 3
+ UNION ALL SELECT page_id, url, concat(html, '+') FROM pages WHERE page_id % 89 = 5"""
+
+
+def op4_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    replica = spark.sql(REPLICA.replace("FROM pages", "FROM {pages}"), pages=pages)
+    return warc.audit(warc.manifest(warc.warc_records(pages)), warc.manifest(warc.warc_records(replica)))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -86,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_embeddings, op3_quality, op4_fixity, op5_bpe, op6_licences, op7_ngram_join, op8_pii, op9_line_dedup, op10_toxicity, op11_sentencepiece, op12_alignment, op13_manifest, pipeline)
+    for f in (op1_packing, op2_embeddings, op3_quality, op4_fixity, op4_replicas, op5_bpe, op6_licences, op7_ngram_join, op8_pii, op9_line_dedup, op10_toxicity, op11_sentencepiece, op12_alignment, op13_manifest, pipeline)
 }
 
 ORACLES: dict[str, str] = {
@@ -108,6 +120,17 @@ WITH r AS (
   FROM pages),
 o AS (SELECT *, (sum(length) OVER (PARTITION BY archive ORDER BY page_id) - length)::BIGINT AS "offset" FROM r)
 SELECT archive, "offset", length, page_id, 'changed' AS damage FROM o WHERE page_id % 101 = 7
+""",
+    "op4_replicas": rf"""
+WITH raw AS (SELECT 'a' AS side, page_id, url, html FROM pages UNION ALL SELECT 'b', * FROM ({REPLICA})),
+p AS (SELECT side, page_id, floor(page_id / 4096)::BIGINT AS archive, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+  || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS payload FROM raw),
+h AS (SELECT side, page_id, archive, octet_length(encode(payload))::BIGINT AS length, sha256(payload) AS hash FROM p),
+o AS (SELECT *, (sum(length) OVER (PARTITION BY side, archive ORDER BY page_id, hash ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS "offset", row_number() OVER (PARTITION BY side, archive, page_id, hash ORDER BY hash) AS copy FROM h),
+u AS (SELECT x.*, row_number() OVER (PARTITION BY side, archive, page_id ORDER BY "offset") AS nth FROM o x WHERE NOT EXISTS (SELECT 1 FROM o y WHERE y.side <> x.side AND y.archive = x.archive AND y.page_id = x.page_id AND y.hash = x.hash AND y.copy = x.copy))
+SELECT coalesce(a.archive, b.archive) AS archive, coalesce(a."offset", b."offset") AS "offset", coalesce(a.length, b.length) AS length, coalesce(a.page_id, b.page_id) AS page_id,
+  CASE WHEN b.side IS NULL THEN 'missing' WHEN a.side IS NULL THEN 'extra' ELSE 'changed' END AS damage
+FROM (SELECT * FROM u WHERE side = 'a') a FULL JOIN (SELECT * FROM u WHERE side = 'b') b ON a.archive = b.archive AND a.page_id = b.page_id AND a.nth = b.nth
 """,
     "op6_licences": licences.oracle(),
     "op13_manifest": trie.oracle(),

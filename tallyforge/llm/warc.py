@@ -34,11 +34,20 @@ def warc_records(pages: DataFrame, per_archive: int = 4096) -> DataFrame:
 
 
 def manifest(records: DataFrame) -> DataFrame:
-    """Archive, offset, length and SHA-256 of each record; payloads are hashed where they are read and go no further."""
+    """Archive, offset, length and SHA-256 of each record; payloads are hashed where they are read and go no further.
+
+    Records lie by page_id (null first) and hash; rows that repeat lie one behind another, an empty table has none.  Offsets
+    are sums of shares of an archive (a page_id and the first three digits of its hashes) and sums within a share, so that
+    an archive of many records without an id, or with one id, is no single window.
+    """
     hashed = records.select("archive", "page_id", F.octet_length("payload").cast("long").alias("length"), F.sha2("payload", 256).alias("hash"))
-    order = "archive order by page_id, hash"
-    offset = F.expr(f"sum(length) over (partition by {order} rows between unbounded preceding and current row) - length")
-    return hashed.withColumn("offset", offset)
+    hashed = hashed.withColumn("_share", F.substring("hash", 1, 3))
+    shares = hashed.groupBy("archive", "page_id", "_share").agg(F.sum("length").alias("_bytes"))
+    begins = F.expr("sum(_bytes) over (partition by archive order by page_id, _share rows between unbounded preceding and current row) - _bytes")
+    shares = shares.select(F.struct("archive", "page_id", "_share").alias("_of"), begins.alias("_begins"))
+    within = F.expr("sum(length) over (partition by archive, page_id, _share order by hash rows between unbounded preceding and current row) - length")
+    rows = hashed.withColumn("_within", within).join(shares, F.struct("archive", "page_id", "_share").eqNullSafe(F.col("_of")))
+    return rows.select("archive", "page_id", "length", "hash", (F.col("_begins") + F.col("_within")).alias("offset"))
 
 
 def nodes(leaves: DataFrame) -> DataFrame:
@@ -53,7 +62,7 @@ def parents(level: DataFrame, at: Column) -> DataFrame:
 
 
 def _joined(item: Column) -> Column:
-    rows = F.sort_array(F.collect_list(F.to_json(item)))
+    rows = F.transform(F.sort_array(F.collect_list(item)), lambda x: F.to_json(x))  # in the order of offsets, as numbers
     return F.sha2(F.array_join(rows, "\n").cast("binary"), 256).alias("hash")
 
 
@@ -69,6 +78,7 @@ def trees(leaves: DataFrame) -> list[DataFrame]:
 def audit(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     """Damaged records between two manifests (:func:`manifest` of each replica, or stored ones).
 
+    Null and repeated page_ids are matched by hash and number; two empty manifests differ in nothing.
     One row per record that differs: archive, offset, length, page_id and ``damage``: ``changed`` (other bytes),
     ``missing`` (only in ``mine``) or ``extra`` (only in ``theirs``).  Replicas that agree give no row.  Records that
     only lie at other offsets, behind one that is missing, extra or of another length, are not damaged: in the suspect

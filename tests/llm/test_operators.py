@@ -132,6 +132,22 @@ def test_licences_filtered(spark, docs):
     assert found.where("n_units > 0").count() == sum(r.n_units > 0 for r in found.collect()) > 0
 
 
+def test_offsets_and_order(spark):
+    """Offsets run on through null ids, one id and equal rows; nodes join their records in the order of offsets."""
+    rows = [(None, f"u{k % 7}", "x" * (k % 5)) for k in range(40)] + [(9, "u", "y" * (k % 6)) for k in range(30)] + [(k, None, None) for k in range(5)]
+    leaves = sorted(warc.manifest(warc.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect(), key=lambda r: (r.archive, r.offset))
+    at = {}
+    for r in leaves:
+        assert r.offset == at.get(r.archive, 0)
+        at[r.archive] = r.offset + r.length
+    keys = [(r.archive, r.page_id is not None, r.page_id or 0, r.hash) for r in leaves]
+    assert keys == sorted(keys) and len(leaves) == 75
+    node = warc.nodes(spark.createDataFrame([(0, o, 1, h) for o, h in ((100, "b"), (20, "a"))], "archive long, offset long, length long, hash string")).first()
+    assert node.hash == hashlib.sha256(b'{"offset":20,"length":1,"hash":"a"}\n{"offset":100,"length":1,"hash":"b"}').hexdigest()
+    none = warc.manifest(warc.warc_records(spark.createDataFrame([], "page_id long, url string, html string")))
+    assert none.count() == 0 and warc.audit(none, none).count() == 0
+
+
 def test_pruning_keeps_true_pairs():
     least = ngram_join.least_matches(0.8, 1e-5)
     assert list(least) == [16, 32, 48, 64] and least[64] > least[16] and least[64] < 64 * 0.8
