@@ -34,7 +34,7 @@ from tallyforge.llm.graph import shared_folder, shifted
 from tallyforge.llm.text import runs, spread
 
 #: Pairs of documents and links of a block (one document may exceed it by itself), and pairs in a row of a block's list.
-BLOCK_ENTRIES = 4_000_000
+BLOCK_ENTRIES = 1_000_000
 LIST_ROW = 50_000
 #: Groups of more links are counted by their distinct tokens.
 WIDE_GROUP = 4096
