@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators import query
+from tallyforge.operators.validate import issue_rows
 from tallyforge.schemas import FIELDS
 
 
@@ -19,7 +20,7 @@ def to_fields(wide: DataFrame, key: str = "id") -> DataFrame:
     field's place), so that the rows of a later receipt have greater numbers."""
     raw = lambda f: F.col(f"{f}.raw_text") if "raw_text" in wide.schema[f].dataType.names else F.lit(None).cast("string")
     items = (F.when(F.col(f).isNotNull(), F.struct(F.lit(k).cast("long").alias("place"), F.lit(f).alias("field_name"), F.col(f"{f}.value").alias("value"), raw(f).alias("raw"), F.col(f"{f}.confidence").alias("confidence"))) for k, f in enumerate(FIELDS))
-    rows = wide.select(F.col(key).cast("long").alias("transaction_id"), F.explode(F.array_compact(F.array(*items))).alias("x"))
+    rows = wide.select(F.col(key).cast("long").alias("transaction_id"), F.explode_outer(F.array(*items)).alias("x")).where("x is not null")
     return rows.select(
         (F.col("transaction_id") * 8 + F.col("x.place")).alias("field_id"), "transaction_id", "x.field_name", F.col("x.value").alias("field_value"), F.col("x.raw").alias("raw_value"),
         F.col("x.confidence").alias("ocr_confidence"), F.lit(0).alias("manually_edited"), F.lit(None).cast("timestamp_ntz").alias("edited_at"),
@@ -28,8 +29,8 @@ def to_fields(wide: DataFrame, key: str = "id") -> DataFrame:
 
 def to_issues(wide: DataFrame, key: str = "id") -> DataFrame:
     """Issue rows of wide results, numbered in their order (a receipt has at most 16)."""
-    rows = wide.select(F.col(key).cast("long").alias("transaction_id"), F.posexplode("issues").alias("place", "i"))
-    return rows.select((F.col("transaction_id") * 16 + F.col("place")).alias("issue_id"), "transaction_id", F.col("i.field").alias("field_name"), "i.severity", "i.message", F.lit(0).alias("resolved"))
+    rows = issue_rows(wide.withColumn("transaction_id", F.col(key).cast("long")), "transaction_id")
+    return rows.select((F.col("transaction_id") * 16 + F.col("place")).alias("issue_id"), "transaction_id", F.col("field").alias("field_name"), "severity", "message", F.lit(0).alias("resolved"))
 
 
 def confirmed(bodies: DataFrame, column: str = "body") -> DataFrame:

@@ -89,6 +89,13 @@ def validate(rows: DataFrame, as_of: Column) -> DataFrame:
     return rows.withColumn("needs_review", F.exists("issues", lambda i: i["severity"] == "error") | flagged())
 
 
+def issue_rows(rows: DataFrame, key: str) -> DataFrame:
+    """Issues as rows with their ``place``.  The outer form and a filter behind it: before a plain explode the planner asks
+    for the size of the issues, and so has all rules run twice."""
+    issues = rows.select(key, F.posexplode_outer("issues").alias("place", "i"))
+    return issues.where("place is not null").select(key, "place", "i.*")
+
+
 def results(read: DataFrame, as_of: Column) -> DataFrame:
     """Results of read images (``image_id, receipt_type, error, seconds``, seven fields): validated, or the error as the
     only issue of a row for review."""

@@ -166,7 +166,7 @@ UNION ALL SELECT t, 'accounts', 'warning', 'Source and destination accounts are
 UNION ALL SELECT id, 'datetime', 'warning', 'Date is in future: ' || strftime(created_at, '%d/%m/%Y') || ' 00:00:00' FROM tx WHERE date_trunc('day', created_at) > TIMESTAMP '{AS_OF}')
 SELECT t AS txn_pk, field, severity, message FROM i""")
 def validation_issues(spark, sf_dir):
-    return validate.validate(wide_rows(spark, sf_dir), now()).select("txn_pk", F.explode("issues").alias("i")).select("txn_pk", "i.*")
+    return validate.issue_rows(validate.validate(wide_rows(spark, sf_dir), now()), "txn_pk").select("txn_pk", "field", "severity", "message")
 
 
 LOW = " OR ".join(f"(field_name = '{f}' AND ocr_confidence < {c})" for f, c in (("transaction_id", 0.9), ("amount", 0.9), ("from_account", 0.85), ("to_account", 0.85), ("datetime", 0.7), ("receiver_name", 0.7), ("comment", 0.7)))
