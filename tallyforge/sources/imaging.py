@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge import schemas
+from tallyforge.sources import png
 from tallyforge.sources.boxes import fallback_box, find_box, green  # noqa: F401  (part of this interface)
 
 HEIGHT = 800
@@ -89,6 +90,29 @@ def preprocess(images: DataFrame, target_height: int = HEIGHT) -> DataFrame:
     return with_error(images).mapInPandas(task, SCHEMA)
 
 
+def debug_images(images: DataFrame) -> DataFrame:
+    """For looking at: each image with its box drawn and its crop before resizing, as PNG (``image_id, name, content``), with
+    how the box was ``found``.  Images that cannot be decoded have none.  Spark writes no single binary files, so these are
+    rows of a table."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                if r.error or r.height <= 0:
+                    continue
+                image = pixels(r.data, r.height, r.width, r.channels).copy()
+                crop, found, (x, y, w, h) = cropped(image, 0)
+                crop = png.encode(crop)
+                colour = (0, 255, 0)[: r.channels] if r.channels >= 3 else (255,)
+                for rows, columns in ((slice(y, y + 3), slice(x, x + w)), (slice(y + h - 3, y + h), slice(x, x + w)), (slice(y, y + h), slice(x, x + 3)), (slice(y, y + h), slice(x + w - 3, x + w))):
+                    image[rows, columns, : len(colour)] = colour
+                out += [(r.image_id, "box", found, png.encode(image)), (r.image_id, "crop", found, crop)]
+            yield pd.DataFrame(out, columns=["image_id", "name", "found", "content"])
+
+    return with_error(images).mapInPandas(task, "image_id string, name string, found string, content binary")
+
+
 def bands(images: DataFrame) -> DataFrame:
     """The seven bands of preprocessed images as images of their own; images with an ``error`` have none."""
 

@@ -204,6 +204,18 @@ def test_uploads_to_results(spark):
     assert imaging.preprocess(png.decoded(files.where("image_id = 'u/bad.png'"))).first().error.startswith("Cannot decode image: ")
 
 
+def test_debug_images(spark):
+    image = np.zeros((400, 300, 3), dtype=np.uint8)
+    image[100:250, 30:270] = 250
+    rows = spark.createDataFrame([("a", 400, 300, 3, bytearray(image.tobytes())), ("g", 400, 300, 1, bytearray(image[..., 0].tobytes())), ("bad", -1, -1, -1, None)], "image_id string, height int, width int, channels int, data binary")
+    got = {(r.image_id, r.name): (r.found, png.decode(r.content)) for r in imaging.debug_images(rows).collect()}
+    x, y, w, h = boxes.by_projection(image)
+    assert set(got) == {(i, n) for i in "ag" for n in ("box", "crop")} and {f for f, _ in got.values()} == {"projection"}
+    assert np.array_equal(got["a", "crop"][1], image[y : y + h, x : x + w]) and np.array_equal(got["g", "crop"][1], image[y : y + h, x : x + w])
+    drawn = got["a", "box"][1]
+    assert (drawn[y, x : x + w] == (0, 255, 0)).all() and (drawn[y + h - 1, x : x + w] == (0, 255, 0)).all() and np.array_equal(drawn[: y - 1], image[: y - 1]) and np.array_equal(drawn[y + 3 : y + h - 3, x + 3 : x + w - 3], image[y + 3 : y + h - 3, x + 3 : x + w - 3])
+
+
 def test_reader_plug_in(spark):
     """Tokens of bands by a caller's reader: blank texts are left out, a band that fails has none."""
 
