@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import functools
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,8 +41,16 @@ def correct_datetime(v: Column) -> Column:
     return F.regexp_replace(v, r"(?U)(\d{4})(\d{2}:\d{2}:\d{2})", "$1 $2")
 
 
+#: White space as texts are split and stripped by it: Unicode's, and the four separators of ASCII.
+BLANK = r"[\s\x1C-\x1F]"
+
+
 def collapse(v: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(v, r"(?U)\s+", " "), r"^ +| +$", "")
+    return F.regexp_replace(F.regexp_replace(v, f"(?U){BLANK}+", " "), r"^ +| +$", "")
+
+
+def stripped(v: Column) -> Column:
+    return F.regexp_replace(v, rf"(?U)^{BLANK}+|{BLANK}+\z", "")
 
 
 def correct_value(v: Column, field: Column) -> Column:
@@ -80,10 +90,29 @@ def leading_number(v: Column) -> Column:
     return F.coalesce(found.try_cast("double"), F.lit(0.0))
 
 
-def parsed_amount(v: Column) -> Column:
-    """The amount as a number, null where it is none (suffixes that Java takes are no numbers)."""
-    plain = F.regexp_replace(v, "[, ]", "")
-    return F.when(F.rlike(plain, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), plain.try_cast("double"))
+@functools.cache
+def other_digits() -> tuple[str, str]:
+    """The decimal digits beyond ASCII, and their values."""
+    digits = {chr(c): str(unicodedata.decimal(chr(c))) for c in range(128, 0x110000) if chr(c).isdecimal()}
+    return "".join(digits), "".join(digits.values())
+
+
+def plain_amount(v: Column, spaces: bool) -> Column:
+    """The text without separators, decimal digits of any script as ASCII."""
+    return F.translate(F.regexp_replace(v, "[, ]" if spaces else ",", ""), *other_digits())
+
+
+def is_amount(v: Column, spaces: bool = True) -> Column:
+    """Whether a text is a number, as an application reads one: separators anywhere (``spaces``: blanks too), digits of any
+    script, single underscores between digits, an exponent, infinity and not-a-number."""
+    run = "[0-9](?:_?[0-9])*"
+    return F.rlike(plain_amount(v, spaces), F.lit(rf"(?iU)^\s*[+-]?(?:(?:{run}\.?(?:{run})?|\.{run})(?:e[+-]?{run})?|inf|infinity|nan)\s*$"))
+
+
+def parsed_amount(v: Column, spaces: bool = True) -> Column:
+    """The number that :func:`is_amount` sees; null for others and for not-a-number, which is above and below nothing."""
+    number = F.regexp_replace(plain_amount(v, spaces), r"(?U)[\s_]", "").try_cast("double")
+    return F.when(is_amount(v, spaces) & ~F.isnan(number), number)
 
 
 def fold(v: Column) -> Column:

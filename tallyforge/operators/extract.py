@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.cleaning import correct_value, is_label, should_review
+from tallyforge.functions.cleaning import correct_value, is_label, should_review, stripped
 from tallyforge.schemas import BANDS, FIELDS
 
 
@@ -39,7 +39,7 @@ def column_tokens(rows: DataFrame) -> DataFrame:
 
 
 def keeps(text: Column, field: Column) -> Column:
-    return ~is_label(text, field) & (F.length(F.trim(text)) >= 2)
+    return ~is_label(text, field) & (F.length(stripped(text)) >= 2)
 
 
 def lenient(text: Column, field: Column) -> Column:
@@ -48,7 +48,7 @@ def lenient(text: Column, field: Column) -> Column:
     return (
         F.when(number, F.rlike(text, F.lit(r"\p{Nd}")))
         .when(field == "datetime", F.rlike(text, F.lit(r"(?U)\d{1,2}[-/]")))
-        .otherwise(F.length(F.trim(text)) >= 3)
+        .otherwise(F.length(stripped(text)) >= 3)
     )
 
 

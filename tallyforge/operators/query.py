@@ -73,7 +73,7 @@ def search(transactions: DataFrame, fields: DataFrame, from_account: str = "", t
     if date_to:
         rows = rows.where(at <= date_to)
     if min_amount or max_amount:
-        number = parsed_amount(F.col("field_value"))
+        number = parsed_amount(F.col("field_value"), spaces=False)
         low = number < min_amount if min_amount else F.lit(False)
         high = number > max_amount if max_amount else F.lit(False)
         off = fields.where((F.col("field_name") == "amount") & (low | high)).select(F.col("transaction_id").alias("_id"))

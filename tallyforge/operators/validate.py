@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.cleaning import parsed_amount, parsed_datetime
+from tallyforge.functions.cleaning import is_amount, parsed_amount, parsed_datetime
 from tallyforge.schemas import FIELD, FIELDS, WEIGHTS
 
 
@@ -46,7 +46,7 @@ def issues(as_of: Column) -> Column:
         issue(~F.rlike(ref, F.lit(r"(?U)^\d{10,11}$")), "transaction_id", "error", F.concat(F.lit("Invalid format: '"), ref, F.lit("' (expected 10-11 digits)"))),
         issue(ref.isNotNull() & (confidence_of("transaction_id") < 0.90), "transaction_id", "warning", F.concat(F.lit("Low confidence: "), percent(confidence_of("transaction_id")))),
         issue(amount.isNull(), "amount", "error", "Amount missing - CRITICAL"),
-        issue(amount.isNotNull() & number.isNull(), "amount", "error", F.concat(F.lit("Cannot parse amount: '"), amount, F.lit("'"))),
+        issue(amount.isNotNull() & ~is_amount(amount), "amount", "error", F.concat(F.lit("Cannot parse amount: '"), amount, F.lit("'"))),
         issue(number <= 0, "amount", "error", F.concat(F.lit("Amount is zero or negative: "), amount)),
         issue(number > 10_000_000, "amount", "warning", F.concat(F.lit("Unusually large amount: "), amount, F.lit(" - verify"))),
         issue(amount.isNotNull() & (confidence_of("amount") < 0.90), "amount", "warning", F.concat(F.lit("Low confidence on CRITICAL field: "), percent(confidence_of("amount")))),

@@ -50,6 +50,15 @@ def test_dates(spark, value, wanted):
     assert (got and (got.month, got.day)) == wanted
 
 
+def test_amounts(spark):
+    """Numbers as an application reads them, after commas and blanks are gone."""
+    wanted = {"1,500.00": 1500, "١٢٫٥": None, "١٬٢": None, "١٢": 12, "1 500": 1500, "1_000": 1000, "_1": None, "1__0": None, "5.": 5, ".5": 0.5, ".": None, "": None, "1e3": 1000, "1e3x": None, "1d": None, "+3": 3, "inf": float("inf"), "\u00a07\t": 7, "0x1": None, None: None}
+    rows = spark.createDataFrame([(v,) for v in wanted], "v string")
+    assert {r.v: r.n for r in rows.select("v", cleaning.parsed_amount(F.col("v")).alias("n")).collect()} == wanted
+    assert one(spark, cleaning.is_amount(F.col("v")), v="NaN") and one(spark, cleaning.parsed_amount(F.col("v")), v="NaN") is None
+    assert one(spark, cleaning.parsed_amount(F.col("v"), spaces=False), v="1 500") is None
+
+
 def test_lenient_dates(spark):
     """Month first, days over 12 swapped with months of full dates, names, two-digit years, parts from the given day."""
     day = datetime.datetime(2025, 6, 30, 17, 5)
