@@ -62,12 +62,10 @@ def current(spark: SparkSession, folder: str, keys: tuple[str, ...]) -> DataFram
     """The newest row of each key: of the newest base and the batches behind it."""
     settled = batches(spark, folder, "base")[-1:]
     newer = [n for n in batches(spark, folder, "batch") if n > max(settled, default=-1)]
-    parts = [spark.read.parquet(f"{folder}/base={n}").withColumn("_batch", F.lit(n)) for n in settled] + [spark.read.parquet(f"{folder}/batch={n}").withColumn("_batch", F.lit(n)) for n in newer]
-    if not parts:
+    if not settled and not newer:
         raise ValueError(f"No batch below {folder}")
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+    parts = [spark.read.option("basePath", folder).parquet(*(f"{folder}/{name}={n}" for n in numbers)).withColumnRenamed(name, "_batch") for name, numbers in (("base", settled), ("batch", newer)) if numbers]
+    rows = parts[0].unionByName(parts[-1]) if len(parts) == 2 else parts[0]
     rest = [c for c in rows.columns if c not in keys and c != "_batch"]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last")).select(*keys, "_last.*")
 
