@@ -202,6 +202,8 @@ class PieceCodec(Codec):
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and for each text where its ids begin (with one more entry at the end)."""
+        if not texts:
+            return np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
         _, points, starts = joined([f" {t}" if t else "" for t in texts])
         points = np.where(points == 32, np.uint32(MARK), points)
         begin, end = self.merger.cuts(points, starts)
