@@ -25,7 +25,7 @@ def wide(fields: DataFrame, key: str = "txn_pk") -> DataFrame:
     """
     optional = lambda c, kind: F.col(c) if c in fields.columns else F.lit(None).cast(kind)
     item = F.struct(F.col("field_value").alias("value"), F.col("ocr_confidence").alias("confidence"), optional("raw_value", "string").alias("raw_text"), optional("needs_review", "boolean").alias("needs_review"))
-    last = F.max_by(item, F.struct(F.coalesce(optional("field_id", "long"), F.lit(-(2**63))), item))
+    last = F.max_by(item, F.struct(F.coalesce("field_id", F.lit(-(2**63))), item)) if "field_id" in fields.columns else F.max(item)
     return fields.groupBy(key).pivot("field_name", list(FIELDS)).agg(last)
 
 
