@@ -29,7 +29,8 @@ def projection_boxes(pixels: DataFrame) -> DataFrame:
     """``image_id, x, y, w, h`` of the bright block of each image of ``(image_id, y, x, grey)``; images without one are left
     out, as are pixels with a null.  Every image must have all its pixels once.
 
-    Pixels are summed by row before they move; all windows are over an image's rows or columns.
+    Pixels are summed by row before they move, and meet the blocks, a row per image, unsorted; pixels that are dealt by image
+    do not move at all.  All windows are over an image's rows or columns.
     """
     shape = Window.partitionBy("image_id")
     rows = pixels.groupBy("image_id", "y").agg(F.avg("grey").alias("level"), F.count("grey").alias("width"))
@@ -40,7 +41,7 @@ def projection_boxes(pixels: DataFrame) -> DataFrame:
     longest = runs.groupBy("image_id").agg(F.max_by(F.struct("top", "bottom", "height", "width", "size"), F.struct(F.col("bottom") - F.col("top"), -F.col("top"))).alias("r")).select("image_id", "r.*")
     tall = F.col("bottom") - F.col("top")
     blocks = longest.where((tall >= F.col("height") * 0.2) & (tall <= F.col("height") * 0.7))
-    inside = pixels.join(blocks, "image_id").where((F.col("y") >= F.col("top")) & (F.col("y") < F.col("bottom")))
+    inside = pixels.join(blocks.hint("shuffle_hash"), "image_id").where((F.col("y") >= F.col("top")) & (F.col("y") < F.col("bottom")))
     columns = inside.groupBy("image_id", "x").agg(F.avg("grey").alias("level"), *(F.first(c).alias(c) for c in ("top", "bottom", "height", "width", "size")))
     sides = lit(columns, "x", 10).groupBy("image_id").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.count("x").alias("n"), *(F.first(c).alias(c) for c in ("top", "bottom", "height", "width")))
     dy, dx = F.floor(tall * 0.02), F.floor((F.col("right") - F.col("left")) * 0.01)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.cleaning import correct_datetime, correct_number, is_label, should_review
 from tallyforge.operators import extract, grams, profile, query, references, stats, store, validate
-from tallyforge.plans.receipts_view import CTE, fields, transactions
+from tallyforge.plans.receipts_view import CTE, fields, tasks_for, transactions
 from tallyforge.schemas import FIELDS, WEIGHTS
 from tallyforge.sources import sinks
 
@@ -264,8 +264,14 @@ def projection_box(spark, sf_dir):
     return profile.projection_boxes(supplier_pixels(spark, sf_dir))
 
 
+#: Images whose pixels one task makes.
+IMAGES_A_TASK = 300
+
+
 def supplier_pixels(spark, sf_dir):
+    """Dealt by image before pixels are made: tasks stay small however few files the suppliers lie in, and no pixel moves."""
     images = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey as k", "cast(20 + s_suppkey * 37 % 700 as double) as h")
+    images = images.repartition(tasks_for(images, IMAGES_A_TASK), "k")
     pixels = images.selectExpr("k", "h", "explode(sequence(0, cast(h as int) - 1)) as y").selectExpr("k", "h", "y", "explode(sequence(0, 39)) as x")
     return spark.sql(f"{PIXELS} {{pixels}}", pixels=pixels)
 

@@ -49,6 +49,12 @@ def union_sql(base: str) -> str:
     return " UNION ALL ".join(f"SELECT k AS transaction_id, '{f}' AS field_name, {v} AS field_value, cast({c} as double) / cast(100 as double) AS ocr_confidence FROM {base} WHERE {w}" for f, v, w, c in PARTS)
 
 
+def tasks_for(rows: DataFrame, each: int) -> int:
+    """Partitions of ``each`` rows, one for each core at least; a number that is given is not merged by adaptive execution,
+    which goes by bytes before rows are exploded."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return spark.sql(TRANSACTIONS.replace("FROM orders", "FROM {orders}"), orders=orders)
