@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.cleaning import correct_datetime, correct_number, is_label, should_review
 from tallyforge.operators import extract, grams, profile, query, references, stats, store, validate
-from tallyforge.plans.receipts_view import CTE, fields, tasks_for, transactions
+from tallyforge.plans.receipts_view import CTE, dealt_orders, fields, tasks_for, transactions
 from tallyforge.schemas import FIELDS, WEIGHTS
 from tallyforge.sources import sinks
 
@@ -34,7 +34,7 @@ def now() -> F.Column:
 
 def both(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, DataFrame]:
     """The receipts and their fields, or those fields that an operator looks at."""
-    return transactions(spark, sf_dir), fields(spark, sf_dir, names or None)
+    return transactions(spark, sf_dir, dealt=True), fields(spark, sf_dir, names or None)
 
 
 ENTITY_FIELDS = ("from_account", "to_account", "receiver_name")
@@ -210,7 +210,7 @@ EVENTS = "SELECT k * 2 AS seq, CASE WHEN k % 4 = 0 THEN 'edit' WHEN k % 4 = 1 TH
 
 
 def events(spark, sf_dir):
-    return spark.sql(EVENTS.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return spark.sql(EVENTS.replace("FROM orders", "FROM {orders}"), orders=dealt_orders(spark, sf_dir)[0])
 
 
 @register(f"{CTE}, ev AS ({EVENTS}) SELECT tf.transaction_id AS txn_pk, tf.field_name, coalesce(ev.new_value, field_value) AS field_value, (ev.seq IS NOT NULL)::INTEGER AS manually_edited FROM tf LEFT JOIN ev ON ev.kind = 'edit' AND ev.txn_pk = tf.transaction_id AND ev.field_name = tf.field_name")
@@ -221,13 +221,13 @@ def edit_fold(spark, sf_dir):
 
 @register(f"{CTE}, ev AS ({EVENTS}) SELECT id, CASE WHEN id IN (SELECT txn_pk FROM ev WHERE kind = 'review') THEN 'reviewed' ELSE status END AS status, CASE WHEN id IN (SELECT txn_pk FROM ev WHERE kind = 'review') THEN 0 ELSE needs_review END AS needs_review FROM tx WHERE id NOT IN (SELECT txn_pk FROM ev WHERE kind = 'delete')")
 def mark_reviewed(spark, sf_dir):
-    return store.current_transactions(transactions(spark, sf_dir), events(spark, sf_dir)).select("id", "status", "needs_review")
+    return store.current_transactions(transactions(spark, sf_dir, dealt=True), events(spark, sf_dir)).select("id", "status", "needs_review")
 
 
 @register(f"{CTE}, ev AS ({EVENTS}) SELECT field_name, count(*)::BIGINT AS orphans FROM tf WHERE transaction_id IN (SELECT txn_pk FROM ev WHERE kind = 'delete') GROUP BY 1")
 def delete_orphans(spark, sf_dir):
     tf, ev = fields(spark, sf_dir), events(spark, sf_dir)
-    left = store.current_transactions(transactions(spark, sf_dir), ev).select("id")
+    left = store.current_transactions(transactions(spark, sf_dir, dealt=True), ev).select("id")
     return store.after_delete(tf, ev).join(left, tf["transaction_id"] == left["id"], "left_anti").groupBy("field_name").agg(F.count("*").alias("orphans"))
 
 
@@ -403,7 +403,7 @@ UPDATES = "SELECT o_orderkey AS k, o_orderkey * 3 AS seq, o_orderkey AS txn_pk,
 
 
 def updates(spark, sf_dir):
-    rows = spark.sql(UPDATES.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    rows = spark.sql(UPDATES.replace("FROM orders", "FROM {orders}"), orders=dealt_orders(spark, sf_dir)[0])
     data = F.create_map(F.lit("comment"), F.concat(F.lit("c"), F.col("k").cast("string")), F.lit("bogus"), F.lit("x"), F.lit("to_account"), F.concat(F.lit("A"), (F.col("k") % 7).cast("string")), F.lit("receiver_name"), F.concat(F.lit("N"), (F.col("k") % 11).cast("string")))
     return store.update_events(rows.select("seq", "txn_pk", "at", data.alias("data")))
 

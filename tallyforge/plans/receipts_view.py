@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ACCOUNT = "concat('{p} ', substr(lpad(cast({e} as string), 12, '0'), 1, 4), ' ', substr(lpad(cast({e} as string), 12, '0'), 5, 4), ' ', substr(lpad(cast({e} as string), 12, '0'), 9, 4))"
 
@@ -49,22 +50,43 @@ def union_sql(base: str) -> str:
     return " UNION ALL ".join(f"SELECT k AS transaction_id, '{f}' AS field_name, {v} AS field_value, cast({c} as double) / cast(100 as double) AS ocr_confidence FROM {base} WHERE {w}" for f, v, w, c in PARTS)
 
 
-def tasks_for(rows: DataFrame, each: int) -> int:
-    """Partitions of ``each`` rows, one for each core at least; a number that is given is not merged by adaptive execution,
-    which goes by bytes before rows are exploded."""
-    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+def tasks_for(rows: DataFrame, each: int, least: int | None = None) -> int:
+    """Partitions of ``each`` rows, ``least`` or one for each core at least; a number that is given is not merged by adaptive
+    execution, which goes by bytes before rows are exploded."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism if least is None else least, -(-rows.count() // each))
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Orders whose fields one task opens.
+ORDERS_A_TASK = 100_000
+
+
+def dealt_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Orders dealt by key, and into how many tasks; what is made of them row by row, and joined or grouped by the key of the
+    receipt, moves no more.  With fewer tasks than shuffles have, joins would deal them anew."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    tasks = tasks_for(orders, ORDERS_A_TASK, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return orders.repartition(tasks, "o_orderkey"), tasks
+
+
+def transactions(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """``dealt``: as :func:`fields` are, to be joined with them."""
+    orders = dealt_orders(spark, sf_dir)[0] if dealt else spark.read.parquet(f"{sf_dir}/orders.parquet")
     return spark.sql(TRANSACTIONS.replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
 def fields(spark: SparkSession, sf_dir: str, names: tuple[str, ...] | None = None) -> DataFrame:
-    """Long rows; the join is done once and each order's row gives its fields (those of ``names``) as an array."""
+    """Long rows; the join is done once and each order's row gives its fields (those of ``names``) as an array.
+
+    An order opens into some twenty times the bytes it has in the join, and adaptive execution merges partitions by the
+    latter; so both sides are dealt by key into tasks of a bounded number of orders.  Suppliers join the few columns of the
+    lines first, so the rows of the join stay dealt by key.
+    """
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    sql = BASE.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}").replace("JOIN supplier", "JOIN {supplier}")
-    base = spark.sql(sql, orders=read("orders"), lineitem=read("lineitem"), supplier=read("supplier"))
+    orders, tasks = dealt_orders(spark, sf_dir)
+    first = read("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("first_supp"))
+    supplier = read("supplier").select("s_suppkey", "s_name")
+    sellers = first.join(supplier, F.col("s_suppkey") == F.col("first_supp")).select("l_orderkey", "s_suppkey", "s_name").repartition(tasks, "l_orderkey")
+    base = orders.join(sellers, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("k", F.col("o_orderkey")).withColumn("cs", F.expr("cast(cast(round(o_totalprice * 100) as bigint) as string)"))
     items = ", ".join(f"case when {w} then struct('{f}' as field_name, {v} as field_value, cast({c} as double) / cast(100 as double) as ocr_confidence) end" for f, v, w, c in PARTS if names is None or f in names)
     return base.selectExpr("k as transaction_id", f"explode(array({items})) as f").where("f is not null").select("transaction_id", "f.*")
 

@@ -2,7 +2,10 @@
 
 import re
 
-from tallyforge.plans import queries
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.plans import queries, receipts_view
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,3 +25,27 @@ def test_pixels_do_not_move(spark):
 def test_images_of_one_task_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(queries, "IMAGES_A_TASK", 1)
     assert queries.supplier_pixels(spark, DATA).rdd.getNumPartitions() == spark.read.parquet(f"{DATA}/supplier.parquet").count()
+
+
+def moved(frame):
+    """Keys by which rows are dealt, beyond orders, their lines and sellers before fields are opened."""
+    text = plan(frame)
+    return [keys for keys, kind in re.findall(r"Exchange hashpartitioning\((.*?), \d+\), (\w+)", text) if kind != "REPARTITION_BY_NUM" and not re.fullmatch(r"(l_orderkey|first_supp|s_suppkey)#\d+L", keys)]
+
+
+def test_orders_of_one_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(receipts_view, "ORDERS_A_TASK", 100)
+    tasks = -(-spark.read.parquet(f"{DATA}/orders.parquet").count() // 100)
+    rows = receipts_view.fields(spark, DATA)
+    assert rows.rdd.getNumPartitions() == tasks
+    by_task = rows.select("transaction_id", F.spark_partition_id().alias("task")).distinct()
+    assert by_task.groupBy("transaction_id").count().where("count > 1").isEmpty() and by_task.groupBy("task").count().agg(F.max("count")).first()[0] < 200
+
+
+@pytest.mark.parametrize("name", ["transaction_document", "critical_confidence", "weighted_confidence", "receipt_flat_export", "ingested_fields", "ingested_issues", "validation_issues"])
+def test_opened_fields_do_not_move(spark, name):
+    assert moved(queries.QUERIES[name](spark, DATA)) == []
+
+
+def test_orphans_meet_what_is_left_where_they_are(spark):
+    assert all(keys.startswith("field_name#") for keys in moved(queries.QUERIES["delete_orphans"](spark, DATA)))
