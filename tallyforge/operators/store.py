@@ -57,15 +57,19 @@ def confirmed(bodies: DataFrame, column: str = "body") -> DataFrame:
 
 def current_fields(fields: DataFrame, events: DataFrame) -> DataFrame:
     """Field rows after all edits; an edit of a field that was never extracted adds none.  Marks of earlier edits that
-    ``fields`` has stay where there is none in ``events``."""
+    ``fields`` has stay where there is none in ``events``.
+
+    A receipt's edits, of seven fields at most, meet its fields as one map, so fields that are dealt by receipt stay there."""
     edits = events.where((F.col("kind") == "edit") & F.col("field_name").isin(*FIELDS))
     last = edits.groupBy(F.col("txn_pk").alias("_t"), F.col("field_name").alias("_f")).agg(F.max_by("new_value", "seq").alias("_value"), F.max("at").alias("_at"))
-    rows = fields.join(last, (fields["transaction_id"] == last["_t"]) & (fields["field_name"] == last["_f"]), "left")
-    value = F.when(F.col("_t").isNotNull(), F.col("_value")).otherwise(F.col("field_value"))
+    last = last.groupBy("_t").agg(F.map_from_entries(F.collect_list(F.struct("_f", F.struct("_value", "_at")))).alias("_edits"))
+    rows = fields.join(last, fields["transaction_id"] == last["_t"], "left").withColumn("_edit", F.col("_edits")[F.col("field_name")])
+    done = F.col("_edit").isNotNull()
+    value = F.when(done, F.col("_edit._value")).otherwise(F.col("field_value"))
     before = lambda c, kind: F.col(c) if c in fields.columns else F.lit(None).cast(kind)
-    edited = F.when(F.col("_t").isNotNull(), 1).otherwise(F.coalesce(before("manually_edited", "int"), F.lit(0)))
-    rows = rows.withColumns({"field_value": value, "manually_edited": edited, "edited_at": F.coalesce("_at", before("edited_at", "timestamp_ntz"))})
-    return rows.drop("_t", "_f", "_value", "_at")
+    edited = F.when(done, 1).otherwise(F.coalesce(before("manually_edited", "int"), F.lit(0)))
+    rows = rows.withColumns({"field_value": value, "manually_edited": edited, "edited_at": F.coalesce("_edit._at", before("edited_at", "timestamp_ntz"))})
+    return rows.drop("_t", "_edits", "_edit")
 
 
 def current_transactions(transactions: DataFrame, events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import store
 from tallyforge.plans import queries, receipts_view
 
 DATA = "/root/testdata/sf0.001"
@@ -49,3 +50,16 @@ def test_opened_fields_do_not_move(spark, name):
 
 def test_orphans_meet_what_is_left_where_they_are(spark):
     assert all(keys.startswith("field_name#") for keys in moved(queries.QUERIES["delete_orphans"](spark, DATA)))
+
+
+@pytest.mark.parametrize("name", ["multi_field_edit", "edit_fold"])
+def test_edits_meet_fields_where_they_are(spark, name):
+    assert moved(queries.QUERIES[name](spark, DATA)) == []
+
+
+def test_edits_to_nothing_and_of_no_field(spark):
+    fields = spark.createDataFrame([(1, "amount", "5"), (1, None, "n"), (2, "amount", "7"), (None, "amount", "9")], "transaction_id long, field_name string, field_value string")
+    edits = [(1, "edit", 1, "amount", "6"), (3, "edit", 1, "amount", None), (4, "edit", 1, None, "x"), (5, "edit", 2, "comment", "c"), (6, "edit", None, "amount", "y")]
+    events = spark.createDataFrame(edits, "seq long, kind string, txn_pk long, field_name string, new_value string").withColumn("at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    got = {(r.transaction_id, r.field_name, r.field_value, r.manually_edited) for r in store.current_fields(fields, events).collect()}
+    assert got == {(1, "amount", None, 1), (1, None, "n", 0), (2, "amount", "7", 0), (None, "amount", "9", 0)}
