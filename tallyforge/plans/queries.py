@@ -378,9 +378,10 @@ def ingested_issues(spark, sf_dir):
 
 def with_later_rows(fields: DataFrame) -> DataFrame:
     """The fields stored once more for some receipts, with lower values and confidences: ``field_id`` tells which is later."""
-    first = fields.withColumn("field_id", F.col("transaction_id"))
-    again = fields.where("transaction_id % 4 = 0 and field_name in ('amount', 'comment')").withColumns({"field_value": F.concat(F.lit(" "), "field_value"), "ocr_confidence": F.col("ocr_confidence") / 2.0, "field_id": F.col("transaction_id") + 1_000_000_000})
-    return first.unionByName(again)
+    first = F.struct("field_value", "ocr_confidence", F.col("transaction_id").alias("field_id"))
+    again = F.struct(F.concat(F.lit(" "), "field_value").alias("field_value"), (F.col("ocr_confidence") / 2.0).alias("ocr_confidence"), (F.col("transaction_id") + 1_000_000_000).alias("field_id"))
+    stored = F.array(first, F.when(F.expr("transaction_id % 4 = 0 and field_name in ('amount', 'comment')"), again))
+    return fields.select("transaction_id", "field_name", F.inline(F.array_compact(stored)))
 
 
 LATER = """lf AS (SELECT * FROM tf WHERE NOT (transaction_id % 4 = 0 AND field_name IN ('amount', 'comment')) UNION ALL

@@ -63,3 +63,8 @@ def test_edits_to_nothing_and_of_no_field(spark):
     events = spark.createDataFrame(edits, "seq long, kind string, txn_pk long, field_name string, new_value string").withColumn("at", F.lit("2024-01-01").cast("timestamp_ntz"))
     got = {(r.transaction_id, r.field_name, r.field_value, r.manually_edited) for r in store.current_fields(fields, events).collect()}
     assert got == {(1, "amount", None, 1), (1, None, "n", 0), (2, "amount", "7", 0), (None, "amount", "9", 0)}
+
+
+def test_later_rows_are_stored_in_one_pass(spark):
+    frame = queries.QUERIES["last_row_wins"](spark, DATA)
+    assert moved(frame) == [] and "Union" not in plan(frame)
