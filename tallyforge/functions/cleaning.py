@@ -149,6 +149,7 @@ def lenient_datetime(v: Column, as_of: Column) -> Column:
 
 def parsed_datetime(v: Column, as_of: Column | None = None) -> Column:
     """The time in one of three day-first formats, else what :func:`lenient_datetime` finds; null: none."""
-    strict = F.coalesce(*(F.try_to_timestamp(v, F.lit(p)) for p in ("d-MMM-yyyy H:m:s", "d-MMMM-yyyy H:m:s", "d/M/yyyy H:m:s")))
+    formats = (("-", "d-MMM-yyyy H:m:s"), ("-", "d-MMMM-yyyy H:m:s"), ("/", "d/M/yyyy H:m:s"))  # a text that does not fit costs an exception
+    strict = F.coalesce(*(F.when(F.contains(v, F.lit(mark)), F.try_to_timestamp(v, F.lit(p))) for mark, p in formats))
     rest = lenient_datetime(F.when(strict.isNull(), v), F.current_timestamp() if as_of is None else as_of)
     return F.coalesce(strict, F.try_to_timestamp(rest, F.lit("yyyy-MM-dd HH:mm:ss")))

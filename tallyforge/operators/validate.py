@@ -37,21 +37,30 @@ def confidence_of(field: str) -> Column:
     return F.coalesce(F.col(f"{field}.confidence"), F.lit(0.0))
 
 
-def issues(as_of: Column) -> Column:
-    """The issues of a wide row, in the order id, amount, accounts, time; their texts are fixed values."""
+def parts(as_of: Column) -> dict[str, Column]:
+    """What several rules ask for: as columns of their own they are made once a row, by compiled code, which what stands
+    below a function on arrays is not."""
+    plain = {f"_{f}": F.replace(value_of(f), F.lit(" "), F.lit("")) for f in ("from_account", "to_account")}
+    return plain | {"_is_amount": is_amount(value_of("amount")), "_number": parsed_amount(value_of("amount")), "_moment": parsed_datetime(value_of("datetime"), as_of)}
+
+
+def issues(as_of: Column, made: dict[str, Column] | None = None) -> Column:
+    """The issues of a wide row, in the order id, amount, accounts, time; their texts are fixed values.  ``made``: columns with
+    its :func:`parts`."""
+    made = made or parts(as_of)
     ref, amount, when = value_of("transaction_id"), value_of("amount"), value_of("datetime")
-    number, moment = parsed_amount(amount), parsed_datetime(when, as_of)
+    number, moment = made["_number"], made["_moment"]
     out = [
         issue(ref.isNull(), "transaction_id", "error", "Transaction ID missing"),
         issue(~F.rlike(ref, F.lit(r"(?U)^\d{10,11}$")), "transaction_id", "error", F.concat(F.lit("Invalid format: '"), ref, F.lit("' (expected 10-11 digits)"))),
         issue(ref.isNotNull() & (confidence_of("transaction_id") < 0.90), "transaction_id", "warning", F.concat(F.lit("Low confidence: "), percent(confidence_of("transaction_id")))),
         issue(amount.isNull(), "amount", "error", "Amount missing - CRITICAL"),
-        issue(amount.isNotNull() & ~is_amount(amount), "amount", "error", F.concat(F.lit("Cannot parse amount: '"), amount, F.lit("'"))),
+        issue(amount.isNotNull() & ~made["_is_amount"], "amount", "error", F.concat(F.lit("Cannot parse amount: '"), amount, F.lit("'"))),
         issue(number <= 0, "amount", "error", F.concat(F.lit("Amount is zero or negative: "), amount)),
         issue(number > 10_000_000, "amount", "warning", F.concat(F.lit("Unusually large amount: "), amount, F.lit(" - verify"))),
         issue(amount.isNotNull() & (confidence_of("amount") < 0.90), "amount", "warning", F.concat(F.lit("Low confidence on CRITICAL field: "), percent(confidence_of("amount")))),
     ]
-    plain = lambda f: F.replace(value_of(f), F.lit(" "), F.lit(""))
+    plain = lambda f: made[f"_{f}"]
     for side, name in (("from_account", "Source account"), ("to_account", "Destination account")):
         out.append(issue(value_of(side).isNull(), side, "error", f"{name} missing"))
         out.append(issue(~F.rlike(plain(side), F.lit(r"(?U)^\d{16}$")), side, "error", F.concat(F.lit("Invalid format: '"), value_of(side), F.lit("' (expected 16 digits)"))))
@@ -85,7 +94,8 @@ def flagged() -> Column:
 
 def validate(rows: DataFrame, as_of: Column) -> DataFrame:
     """Wide rows with issues, overall confidence and needs_review: a flagged field or any error; warnings do not flag."""
-    rows = rows.withColumn("issues", issues(as_of)).withColumn("overall_confidence", weighted_confidence())
+    made = parts(as_of)
+    rows = rows.withColumns(made).withColumn("issues", issues(as_of, {c: F.col(c) for c in made})).drop(*made).withColumn("overall_confidence", weighted_confidence())
     return rows.withColumn("needs_review", F.exists("issues", lambda i: i["severity"] == "error") | flagged())
 
 

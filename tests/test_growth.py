@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import store
+from tallyforge.functions import cleaning
+from tallyforge.operators import store, validate
 from tallyforge.plans import queries, receipts_view
 
 DATA = "/root/testdata/sf0.001"
@@ -68,3 +69,20 @@ def test_edits_to_nothing_and_of_no_field(spark):
 def test_later_rows_are_stored_in_one_pass(spark):
     frame = queries.QUERIES["last_row_wins"](spark, DATA)
     assert moved(frame) == [] and "Union" not in plan(frame)
+
+
+def test_rules_share_their_parts(spark):
+    rows = validate.validate(queries.wide_rows(spark, DATA), queries.now())
+    text = plan(rows.select("txn_pk", "issues"))
+    assert all(text.count(f" AS {part}#") == 1 for part in ("_number", "_is_amount", "_moment", "_from_account", "_to_account"))
+    assert not {"_number", "_is_amount", "_moment", "_from_account", "_to_account"} & set(rows.columns)
+
+
+def test_dates_are_as_all_formats_read_them(spark):
+    texts = ["5-May-2024 1:2:3", "05-December-2024 10:42:11", "1/2/2024 00:00:00", "1/1/-0001 00:00:00", "1/2-2024 0:0:0", "31/02/2024 1:1:1", "3-Feb-2024", "", "-", "/", "nothing", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    formats = ("d-MMM-yyyy H:m:s", "d-MMMM-yyyy H:m:s", "d/M/yyyy H:m:s")
+    strict = F.coalesce(*(F.try_to_timestamp("t", F.lit(f)) for f in formats))
+    rest = cleaning.lenient_datetime(F.when(strict.isNull(), F.col("t")), queries.now())
+    wanted = F.coalesce(strict, F.try_to_timestamp(rest, F.lit("yyyy-MM-dd HH:mm:ss")))
+    assert rows.where(~wanted.eqNullSafe(cleaning.parsed_datetime(F.col("t"), queries.now()))).isEmpty()
